@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +43,35 @@ def with_lineage(df: DataFrame, source_file: str = "_metadata.file_path") -> Dat
     return df.withColumns({"_ingest_ts": F.current_timestamp(), "_source_file": F.col(source_file)})
 
 
+_SOURCE = "_source_"
+
+
+def _stated(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """The contract's source columns under internal names, arrival time and carried tie-breakers."""
+    absent = [s for s in spec.sources() if s not in raw.columns]
+    if absent:
+        raise ValueError(f"input lacks contract columns: {', '.join(absent)}")
+    arrival = F.col(spec.arrival) if spec.arrival in raw.columns else F.current_timestamp()
+    sources = [F.col(f"`{s}`").alias(_SOURCE + s) for s in dict.fromkeys(spec.sources())]
+    return raw.select(*sources, arrival.alias(spec.arrival), *_carried(raw, spec))
+
+
 def _typed(field: Field) -> Column:
-    raw = F.col(f"`{field.source}`")
+    source = F.col(f"`{_SOURCE}{field.source}`")
     if field.kind == TEXT:
-        return blank_to_null(raw).alias(field.name)
+        return blank_to_null(source)
     if field.kind == HHMM:
-        return clock_text(raw).alias(field.name)
-    return tolerant(raw, field.kind).alias(field.name)
+        return clock_text(source)
+    # Blank first: an empty number is common and need not go through a failing conversion.
+    return tolerant(blank_to_null(source), field.kind)
+
+
+def _with_fields(stated: DataFrame, spec: TableSpec, names: Sequence[str]) -> DataFrame:
+    return stated.withColumns({f.name: _typed(f) for f in spec.fields if f.name in names})
+
+
+def _field_names(spec: TableSpec) -> list[str]:
+    return [f.name for f in spec.fields]
 
 
 def _carried(df: DataFrame, spec: TableSpec) -> list[str]:
@@ -56,28 +79,22 @@ def _carried(df: DataFrame, spec: TableSpec) -> list[str]:
 
 
 def conform(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """Project raw columns onto the contract: typed fields, arrival time, carried tie-breakers and
-    the untouched source values as one struct. Unused parts are pruned by the optimizer."""
-    absent = [s for s in spec.sources() if s not in raw.columns]
-    if absent:
-        raise ValueError(f"input lacks contract columns: {', '.join(absent)}")
-    arrival = F.col(spec.arrival) if spec.arrival in raw.columns else F.current_timestamp()
-    original = F.struct(*[F.col(f"`{s}`") for s in dict.fromkeys(spec.sources())])
-    return raw.select(
-        *[_typed(f) for f in spec.fields],
-        arrival.alias(spec.arrival),
-        *_carried(raw, spec),
-        original.alias(RAW),
-    )
+    """Project raw columns onto the contract: typed fields and arrival time."""
+    typed = _with_fields(_stated(raw, spec), spec, _field_names(spec))
+    return typed.select(*_field_names(spec), spec.arrival)
 
 
-def reasons(rules: Sequence[Rule]) -> Column:
-    """Comma-joined names of the failed rules in rule order; empty text when none failed."""
-    return F.concat_ws(",", *[F.when(F.expr(r.fails_when), F.lit(r.name)) for r in rules])
+def _failed(rule: Rule) -> Column:
+    return F.coalesce(F.expr(rule.fails_when), F.lit(False))
 
 
-def check(typed: DataFrame, spec: TableSpec) -> DataFrame:
-    return typed.withColumn(REASON, reasons(spec.rules))
+def any_failed(rules: Sequence[Rule]) -> Column:
+    return reduce(lambda a, b: a | b, [_failed(r) for r in rules], F.lit(False))
+
+
+def reasons(rules: Sequence[Rule]) -> Column:
+    """Comma-joined names of the failed rules in rule order; empty text when none failed."""
+    return F.concat_ws(",", *[F.when(_failed(r), F.lit(r.name)) for r in rules])
 
 
 def keep_latest(df: DataFrame, key: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -85,27 +102,16 @@ def keep_latest(df: DataFrame, key: Sequence[str], newest_first: Sequence[Column
 
     Ranking with a limit of one lets Spark drop the losers of each key inside every map task before
     the shuffle (a group limit), so a key that holds a large share of all rows sends at most one
-    row per map task to its reducer.
+    row per map task to its reducer. A hash leads the partition columns because the sorts then compare
+    one long number, instead of several texts, for all rows but those of the same key.
     """
-    ranked = Window.partitionBy(*key).orderBy(*newest_first)
-    return df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
-
-
-def _latest_order(df: DataFrame, spec: TableSpec) -> list[Column]:
-    ties = [F.col(t).asc() for t in _carried(df, spec)]
-    return [F.col(spec.arrival).desc(), *ties, F.xxhash64(*[f.name for f in spec.fields]).asc()]
-
-
-def accepted(checked: DataFrame, spec: TableSpec) -> DataFrame:
-    """Rows that pass every rule, one per key, with the derived columns."""
-    passing = checked.filter(F.col(REASON) == "").drop(REASON, RAW)
-    latest = keep_latest(passing, spec.key, _latest_order(passing, spec))
-    return refine(latest.drop(*spec.ties), spec)
-
-
-def rejected(checked: DataFrame) -> DataFrame:
-    """Rows that fail some rule: typed values, reasons, and the original text as JSON."""
-    return checked.filter(F.col(REASON) != "").withColumn(RAW, F.to_json(RAW))
+    ranked = Window.partitionBy("_key_hash", *key).orderBy(*newest_first)
+    return (
+        df.withColumn("_key_hash", F.xxhash64(*key))
+        .withColumn("_rank", F.row_number().over(ranked))
+        .filter("_rank = 1")
+        .drop("_rank", "_key_hash")
+    )
 
 
 def refine(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -116,8 +122,37 @@ def refine(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.select(*replaced, *computed.values())
 
 
+def accepted(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rows that pass every rule, one per key, with the derived columns.
+
+    Only the fields that rules and keys need are typed before the copies of a key meet; the others
+    are typed on the survivors, after the shuffle.
+    """
+    stated = _stated(raw, spec)
+    sources = [c for c in stated.columns if c.startswith(_SOURCE)]
+    passing = _with_fields(stated, spec, _field_names(spec)).filter(~any_failed(spec.rules))
+    carried = _carried(stated, spec)
+    keyed = passing.select(*sources, spec.arrival, *carried, *spec.key)
+    order = [F.col(spec.arrival).desc(), *[F.col(t).asc() for t in carried], F.xxhash64(*sources).asc()]
+    latest = keep_latest(keyed, spec.key, order)
+    typed = _with_fields(latest, spec, [n for n in _field_names(spec) if n not in spec.key])
+    return refine(typed.select(*_field_names(spec), spec.arrival), spec)
+
+
+def rejected(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """Rows that fail some rule: typed values, reasons, and the original text as JSON.
+
+    Reasons and JSON are built after the filter, so accepted rows do not pay for them.
+    """
+    stated = _stated(raw, spec)
+    failing = _with_fields(stated, spec, _field_names(spec)).filter(any_failed(spec.rules))
+    original = F.struct(*[F.col(f"`{_SOURCE}{s}`").alias(s) for s in dict.fromkeys(spec.sources())])
+    return failing.select(
+        *_field_names(spec), spec.arrival, reasons(spec.rules).alias(REASON), F.to_json(original).alias(RAW)
+    )
+
+
 def clean(raw: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). Both are lazy and share no cached state: the rejected side is a narrow
     scan-and-filter, cheaper to evaluate again than to keep a second copy of the input."""
-    checked = check(conform(raw, spec), spec)
-    return accepted(checked, spec), rejected(checked).drop(*spec.ties)
+    return accepted(raw, spec), rejected(raw, spec)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from terrace.flights import model
 from terrace.flights.contract import FLIGHTS
 from terrace.lake import Lake, create_schemas
-from terrace.operators.clean import REASON, accepted, check, conform, rejected, safe_names
+from terrace.operators.clean import accepted, rejected, safe_names
 from terrace.operators.quality import enforce, file_counts, gate, reconcile
 from terrace.sinks.snapshot import SnapshotTable
 from terrace.sinks.tables import clustered, read_batches, save_gold, write_batch
@@ -61,8 +60,7 @@ def bronze_rows(spark: SparkSession, lake: Lake, feed: str = FEED) -> DataFrame:
 
 def quarantine_rows(spark: SparkSession, lake: Lake, spec: TableSpec = FLIGHTS, feed: str = FEED) -> DataFrame:
     nothing = spark.createDataFrame([], bronze_schema(spark, lake, feed))
-    empty = rejected(check(conform(nothing, spec), spec)).drop(*spec.ties)
-    return read_batches(spark, quarantine_path(lake, feed), empty.schema)
+    return read_batches(spark, quarantine_path(lake, feed), rejected(nothing, spec).schema)
 
 
 def run_bronze(
@@ -97,14 +95,8 @@ def run_silver(
     target = silver_table(spark, lake, spec, feed, newer_wins)
 
     def clean_and_upsert(batch: DataFrame, batch_id: int, writer: str) -> None:
-        checked = check(conform(batch, spec), spec)
-        refused = Observation()
-        watched = checked.observe(refused, F.count_if(F.col(REASON) != "").alias("rows"))
-        published = target.upsert(accepted(watched, spec), batch_id, writer)
-        # The count comes out of the upsert's own pass; a clean batch needs no second one. A batch
-        # that is being retried after its upsert was published has no count, so it is written again.
-        if not published or refused.get["rows"]:
-            write_batch(rejected(checked).drop(*spec.ties), quarantine_path(lake, feed), batch_id)
+        target.upsert(accepted(batch, spec), batch_id, writer)
+        write_batch(rejected(batch, spec), quarantine_path(lake, feed), batch_id)
 
     reader = spark.readStream.schema(bronze_schema(spark, lake, feed))
     if bytes_per_batch:

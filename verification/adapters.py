@@ -129,6 +129,8 @@ with b as (
 )
 """
 
+LARGE = ("lineitem", "orders", "events")
+
 TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -136,9 +138,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Distribute the rows of a stored table that has fewer splits than there are cores.
+
+    A small test file is one split, so all later work on it would run in one task. A large table has
+    many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _select(spark: SparkSession, sf_dir: str, ctes: str, names: tuple[str, ...], tail: str) -> DataFrame:
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        rows = table(spark, sf_dir, name)
+        (spread(rows) if name in LARGE else rows).createOrReplaceTempView(name)
     return spark.sql(f"{ctes}\n{tail}")
 
 

@@ -279,7 +279,7 @@ ORACLES = {
         rescued="case when o_orderkey % 2 <> 0 then '{\"Rank\":\"' || o_orderpriority || '\"}' end",
         where="",
     ),
-    "file_counts": "select count(*) as rows, 0 as files_without_time from orders",
+    "file_counts": "select count(*) as rows, cast(0 as bigint) as files_without_time from orders",
     "upsert_snapshot": UPSERTED.format(extra=""),
     "upsert_newer_wins": UPSERTED.format(extra=", case when o_orderkey % 3 <> 1 then 2 else 1 end as arrived"),
     "clustered_write": f"{FACT} select * from fact",

@@ -14,7 +14,7 @@ from terrace.flights.contract import FLIGHTS
 from terrace.functions import clock_text, utc_wall_clock
 from terrace.lake import materialize, scratch
 from terrace.operators import quality
-from terrace.operators.clean import REASON, accepted, check, clean, conform, keep_latest, sanitize_columns
+from terrace.operators.clean import accepted, clean, conform, keep_latest, rejected, sanitize_columns
 from terrace.operators.star import with_role
 from terrace.plans.batch import FEED
 from terrace.sinks.snapshot import SnapshotTable
@@ -46,7 +46,7 @@ def registered() -> dict[str, Query]:
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(raw_flights(spark, sf_dir), SHIPMENTS)[0]
+    return accepted(raw_flights(spark, sf_dir), SHIPMENTS)
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,7 @@ def sanitize_columns_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contract_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = conform(raw_flights(spark, sf_dir), FLIGHTS)
-    return typed.select(*[f.name for f in FLIGHTS.fields], "_ingest_ts")
+    return conform(raw_flights(spark, sf_dir), FLIGHTS)
 
 
 @query
@@ -95,19 +94,19 @@ def clean_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(raw_flights(spark, sf_dir), SHIPMENTS)[1].drop("_raw_record")
+    return rejected(raw_flights(spark, sf_dir), SHIPMENTS).drop("_raw_record")
 
 
 @query
 def reject_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.reject_counts(clean(raw_flights(spark, sf_dir), SHIPMENTS)[1])
+    return quality.reject_counts(rejected(raw_flights(spark, sf_dir), SHIPMENTS))
 
 
 @query
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written once: the three counts would otherwise each join the source tables again.
-    checked = materialize(check(conform(raw_flights(spark, sf_dir), SHIPMENTS), SHIPMENTS), "checked")
-    return quality.reconcile(checked, accepted(checked, SHIPMENTS), checked.filter(F.col(REASON) != ""))
+    bronze = materialize(raw_flights(spark, sf_dir), "bronze")
+    return quality.reconcile(bronze, *clean(bronze, SHIPMENTS))
 
 
 @query
