@@ -43,21 +43,30 @@ def with_lineage(df: DataFrame, source_file: str = "_metadata.file_path") -> Dat
     return df.withColumns({"_ingest_ts": F.current_timestamp(), "_source_file": F.col(source_file)})
 
 
-_SOURCE = "_source_"
+def _source_name(spec: TableSpec, source: str) -> str:
+    """A source column's name while raw and typed columns live side by side. Renaming every column
+    would be simpler, but each renamed column doubles the constraints the optimizer derives."""
+    taken = {f.name.lower() for f in spec.fields}
+    return f"_source_{source}" if source.lower() in taken else source
+
+
+def _source_names(spec: TableSpec) -> dict[str, str]:
+    return {s: _source_name(spec, s) for s in spec.sources()}
 
 
 def _stated(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """The contract's source columns under internal names, arrival time and carried tie-breakers."""
+    """The contract's source columns, arrival time and carried tie-breakers."""
     absent = [s for s in spec.sources() if s not in raw.columns]
     if absent:
         raise ValueError(f"input lacks contract columns: {', '.join(absent)}")
-    arrival = F.col(spec.arrival) if spec.arrival in raw.columns else F.current_timestamp()
-    sources = [F.col(f"`{s}`").alias(_SOURCE + s) for s in dict.fromkeys(spec.sources())]
-    return raw.select(*sources, arrival.alias(spec.arrival), *_carried(raw, spec))
+    arrival = F.col(spec.arrival) if spec.arrival in raw.columns else F.current_timestamp().alias(spec.arrival)
+    names = _source_names(spec).items()
+    sources = [F.col(f"`{s}`") if s == name else F.col(f"`{s}`").alias(name) for s, name in names]
+    return raw.select(*sources, arrival, *_carried(raw, spec))
 
 
-def _typed(field: Field) -> Column:
-    source = F.col(f"`{_SOURCE}{field.source}`")
+def _typed(spec: TableSpec, field: Field) -> Column:
+    source = F.col(f"`{_source_name(spec, field.source)}`")
     if field.kind == TEXT:
         return blank_to_null(source)
     if field.kind == HHMM:
@@ -67,7 +76,7 @@ def _typed(field: Field) -> Column:
 
 
 def _with_fields(stated: DataFrame, spec: TableSpec, names: Sequence[str]) -> DataFrame:
-    return stated.withColumns({f.name: _typed(f) for f in spec.fields if f.name in names})
+    return stated.withColumns({f.name: _typed(spec, f) for f in spec.fields if f.name in names})
 
 
 def _field_names(spec: TableSpec) -> list[str]:
@@ -84,17 +93,13 @@ def conform(raw: DataFrame, spec: TableSpec) -> DataFrame:
     return typed.select(*_field_names(spec), spec.arrival)
 
 
-def _failed(rule: Rule) -> Column:
-    return F.coalesce(F.expr(rule.fails_when), F.lit(False))
-
-
 def any_failed(rules: Sequence[Rule]) -> Column:
-    return reduce(lambda a, b: a | b, [_failed(r) for r in rules], F.lit(False))
+    return reduce(lambda a, b: a | b, [F.coalesce(F.expr(r.fails_when), F.lit(False)) for r in rules], F.lit(False))
 
 
 def reasons(rules: Sequence[Rule]) -> Column:
     """Comma-joined names of the failed rules in rule order; empty text when none failed."""
-    return F.concat_ws(",", *[F.when(_failed(r), F.lit(r.name)) for r in rules])
+    return F.concat_ws(",", *[F.when(F.expr(r.fails_when), F.lit(r.name)) for r in rules])
 
 
 def keep_latest(df: DataFrame, key: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -129,7 +134,7 @@ def accepted(raw: DataFrame, spec: TableSpec) -> DataFrame:
     are typed on the survivors, after the shuffle.
     """
     stated = _stated(raw, spec)
-    sources = [c for c in stated.columns if c.startswith(_SOURCE)]
+    sources = [F.col(f"`{name}`") for name in _source_names(spec).values()]
     passing = _with_fields(stated, spec, _field_names(spec)).filter(~any_failed(spec.rules))
     carried = _carried(stated, spec)
     keyed = passing.select(*sources, spec.arrival, *carried, *spec.key)
@@ -146,7 +151,7 @@ def rejected(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """
     stated = _stated(raw, spec)
     failing = _with_fields(stated, spec, _field_names(spec)).filter(any_failed(spec.rules))
-    original = F.struct(*[F.col(f"`{_SOURCE}{s}`").alias(s) for s in dict.fromkeys(spec.sources())])
+    original = F.struct(*[F.col(f"`{name}`").alias(s) for s, name in _source_names(spec).items()])
     return failing.select(
         *_field_names(spec), spec.arrival, reasons(spec.rules).alias(REASON), F.to_json(original).alias(RAW)
     )
