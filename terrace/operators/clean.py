@@ -75,12 +75,25 @@ def _typed(spec: TableSpec, field: Field) -> Column:
     return tolerant(blank_to_null(source), field.kind)
 
 
-def _with_fields(stated: DataFrame, spec: TableSpec, names: Sequence[str]) -> DataFrame:
-    return stated.withColumns({f.name: _typed(spec, f) for f in spec.fields if f.name in names})
+def _fields(spec: TableSpec, names: Sequence[str]) -> dict[str, Column]:
+    return {f.name: _typed(spec, f) for f in spec.fields if f.name in names}
 
 
-def _field_names(spec: TableSpec) -> list[str]:
-    return [f.name for f in spec.fields]
+def _decidable(stated: DataFrame, spec: TableSpec) -> DataFrame:
+    """Add the typed fields that rules and key need.
+
+    A generator adds them, as one unit: with plain columns the optimizer would push the filter on them
+    below their computation, and so compute them, and whatever computed column they came from, again for
+    the filter. The remaining fields are typed later, on fewer rows.
+    """
+    typed = [column.alias(name) for name, column in _fields(spec, spec.deciding()).items()]
+    return stated.select("*", F.inline(F.array(F.struct(*typed))))
+
+
+def _complete(decided: DataFrame, spec: TableSpec) -> DataFrame:
+    """Add the typed fields that ``_decidable`` left out."""
+    rest = _fields(spec, [n for n in spec.names() if n not in spec.deciding()])
+    return decided.withColumns(rest) if rest else decided
 
 
 def _carried(df: DataFrame, spec: TableSpec) -> list[str]:
@@ -89,8 +102,8 @@ def _carried(df: DataFrame, spec: TableSpec) -> list[str]:
 
 def conform(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """Project raw columns onto the contract: typed fields and arrival time."""
-    typed = _with_fields(_stated(raw, spec), spec, _field_names(spec))
-    return typed.select(*_field_names(spec), spec.arrival)
+    typed = _fields(spec, spec.names())
+    return _stated(raw, spec).select(*[c.alias(name) for name, c in typed.items()], spec.arrival)
 
 
 def any_failed(rules: Sequence[Rule]) -> Column:
@@ -135,25 +148,22 @@ def accepted(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """
     stated = _stated(raw, spec)
     sources = [F.col(f"`{name}`") for name in _source_names(spec).values()]
-    passing = _with_fields(stated, spec, _field_names(spec)).filter(~any_failed(spec.rules))
     carried = _carried(stated, spec)
-    keyed = passing.select(*sources, spec.arrival, *carried, *spec.key)
+    passing = _decidable(stated, spec).filter(~any_failed(spec.rules))
     order = [F.col(spec.arrival).desc(), *[F.col(t).asc() for t in carried], F.xxhash64(*sources).asc()]
-    latest = keep_latest(keyed, spec.key, order)
-    typed = _with_fields(latest, spec, [n for n in _field_names(spec) if n not in spec.key])
-    return refine(typed.select(*_field_names(spec), spec.arrival), spec)
+    latest = keep_latest(passing, spec.key, order)
+    return refine(_complete(latest, spec).select(*spec.names(), spec.arrival), spec)
 
 
 def rejected(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows that fail some rule: typed values, reasons, and the original text as JSON.
 
-    Reasons and JSON are built after the filter, so accepted rows do not pay for them.
+    Reasons, JSON and most types are made after the filter, so accepted rows do not pay for them.
     """
-    stated = _stated(raw, spec)
-    failing = _with_fields(stated, spec, _field_names(spec)).filter(any_failed(spec.rules))
+    failing = _complete(_decidable(_stated(raw, spec), spec).filter(any_failed(spec.rules)), spec)
     original = F.struct(*[F.col(f"`{name}`").alias(s) for s, name in _source_names(spec).items()])
     return failing.select(
-        *_field_names(spec), spec.arrival, reasons(spec.rules).alias(REASON), F.to_json(original).alias(RAW)
+        *spec.names(), spec.arrival, reasons(spec.rules).alias(REASON), F.to_json(original).alias(RAW)
     )
 
 

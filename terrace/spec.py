@@ -27,10 +27,14 @@ class Field:
 
 @dataclass(frozen=True)
 class Rule:
-    """A named reject reason. ``fails_when`` must evaluate to true or false, never NULL."""
+    """A named reject reason: SQL text over typed fields, true for a row that fails. NULL is not a failure.
+
+    ``uses`` names the fields the text reads; empty means that it may read any.
+    """
 
     name: str
     fails_when: str
+    uses: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -76,21 +80,31 @@ class TableSpec:
     ties: tuple[str, ...] = ()
 
     def sources(self) -> list[str]:
-        return [f.source for f in self.fields]
+        """Raw columns the contract needs, in order."""
+        return list(dict.fromkeys(f.source for f in self.fields))
+
+    def names(self) -> list[str]:
+        return [f.name for f in self.fields]
+
+    def deciding(self) -> list[str]:
+        """Fields that decide about a row: those of the key and of the rules."""
+        names = self.names()
+        used = {*self.key, *(u for r in self.rules for u in (r.uses or names))}
+        return [n for n in names if n in used]
 
 
 def required(column: str, reason: str | None = None) -> Rule:
-    return Rule(reason or f"missing_{column}", f"{column} is null")
+    return Rule(reason or f"missing_{column}", f"{column} is null", (column,))
 
 
 def matching(column: str, pattern: str, reason: str) -> Rule:
-    return Rule(reason, f"not coalesce({column} rlike '{pattern}', false)")
+    return Rule(reason, f"not coalesce({column} rlike '{pattern}', false)", (column,))
 
 
 def positive(column: str, reason: str) -> Rule:
-    return Rule(reason, f"not coalesce({column} > 0, false)")
+    return Rule(reason, f"not coalesce({column} > 0, false)", (column,))
 
 
 def one_of(column: str, values: tuple[str, ...], reason: str) -> Rule:
     listed = ", ".join(f"'{v}'" for v in values)
-    return Rule(reason, f"not coalesce({column} in ({listed}), false)")
+    return Rule(reason, f"not coalesce({column} in ({listed}), false)", (column,))

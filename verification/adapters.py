@@ -103,9 +103,8 @@ FLIGHTS_CTE = f"""
 with j as ({JOINED}), b as ({FLIGHTS_FROM_JOINED}), bronze as ({WITH_LATER_COPIES})
 """
 
-# CTEs ending in ``bodies``: one JSON text column ``body``.
-EVENTS_CTE = """
-with b as (
+# Event bodies: JSON text, some of it broken or incomplete.
+BODIES = """
   select
     case when event_id % 97 = 0 then '{not json'
     else concat(
@@ -122,7 +121,10 @@ with b as (
       '}') end as body,
     event_id
   from events
-), bodies as (
+"""
+
+EVENTS_CTE = f"""
+with b as ({BODIES}), bodies as (
   select body from b
   union all
   select body from b where event_id % 50 = 0
@@ -155,13 +157,17 @@ def _select(spark: SparkSession, sf_dir: str, ctes: str, names: tuple[str, ...],
     return spark.sql(f"{ctes}\n{tail}")
 
 
+def _with_repeats(df: DataFrame, again: str) -> DataFrame:
+    """Every 50th row twice, the second time with ``_again`` true, in one pass; a union would compute
+    the rows twice."""
+    copies = F.when(F.col(again) % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return df.withColumn("_again", F.explode(copies))
+
+
 def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("lineitem", "orders", "customer", "supplier", "nation", "region")
     ctes = f"with j as ({JOINED_FOR_SPARK}), b as ({FLIGHTS_FROM_JOINED})"
-    first = _select(spark, sf_dir, ctes, names, "select * from b")
-    # The later copies are made from the same rows in the same pass; a union would join twice.
-    copies = F.when(F.col("l_orderkey") % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    both = first.withColumn("_again", F.explode(copies))
+    both = _with_repeats(_select(spark, sf_dir, ctes, names, "select * from b"), "l_orderkey")
     return both.withColumns(
         {
             "Tail_Number": F.when(F.col("_again"), F.lit("DUP")).otherwise(F.col("Tail_Number")),
@@ -171,4 +177,4 @@ def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, EVENTS_CTE, ("events",), "select * from bodies")
+    return _with_repeats(_select(spark, sf_dir, "", ("events",), BODIES), "event_id").select("body")
