@@ -47,12 +47,16 @@ def flight_rows(fact: DataFrame, dim_date: DataFrame, dim_carrier: DataFrame) ->
     )
 
 
-def tiles(fact: DataFrame, dim_date: DataFrame, dim_carrier: DataFrame) -> DataFrame:
+def reduced(fact: DataFrame) -> DataFrame:
+    """The fact on its foreign keys and hour, with the sums and counts the widgets need."""
+    return roll_up(fact, TILE, TILE_MEASURES)
+
+
+def tiles(reduced_fact: DataFrame, dim_date: DataFrame, dim_carrier: DataFrame) -> DataFrame:
     """The dataset pre-aggregated to what the widgets can tell apart."""
-    reduced = roll_up(fact, TILE, TILE_MEASURES)
     dates = dim_date.select("date_key", "date", "month", "month_name")
     return (
-        reduced.join(dates, "date_key")
+        reduced_fact.join(dates, "date_key")
         .join(dim_carrier.select("carrier_code", "carrier_name"), "carrier_code")
         .withColumnRenamed("origin_airport_code", "origin_airport")
     )

@@ -88,9 +88,9 @@ def agg_daily_route(fact: DataFrame) -> DataFrame:
     return roll_up(fact, ROUTE_DAY, ROUTE_DAY_MEASURES)
 
 
-def dates_of(agg: DataFrame) -> DataFrame:
-    """The dates of a daily rollup as ``flight_date``, for building dim_date without a fact scan."""
-    return agg.select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd").alias("flight_date"))
+def dates_of(keyed: DataFrame) -> DataFrame:
+    """The dates of a fact or rollup as ``flight_date``, for building dim_date from its keys."""
+    return keyed.select("date_key").distinct().select(F.to_date(F.col("date_key").cast("string"), "yyyyMMdd").alias("flight_date"))
 
 
 def star(silver: DataFrame) -> dict[str, DataFrame]:

@@ -233,7 +233,7 @@ DATASET = """(select d.date, d.month_name, c.carrier_name, f.origin_airport_code
 
 @pytest.fixture
 def tiles(gold):
-    return dashboard.tiles(gold["fact_flights"], gold["dim_date"], gold["dim_carrier"])
+    return dashboard.tiles(dashboard.reduced(gold["fact_flights"]), gold["dim_date"], gold["dim_carrier"])
 
 
 def test_dashboard_widgets_equal_their_row_level_definitions(spark, gold, tiles):
