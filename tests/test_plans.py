@@ -104,3 +104,13 @@ def test_broken_gold_stops_the_run(spark, tmp_path, flights, monkeypatch):
 def test_silver_before_any_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         job.run_silver(spark, Lake(str(tmp_path / "none")))
+
+
+def test_command_line(spark, tmp_path, land, capsys):
+    from terrace.__main__ import arguments, main
+
+    assert arguments(["events", "--root", "/x", "--every", "30 seconds"]).every == "30 seconds"
+    land("01.csv", flight(1), flight(2, Origin="??"))
+    main(["batch", "--root", str(tmp_path / "lake"), "--prefix", "cli_"])
+    printed = capsys.readouterr().out
+    assert "duplicates_removed" in printed and "fact rows equal silver rows" in printed
