@@ -46,15 +46,17 @@ def role_dimension(df: DataFrame, roles: Sequence[Mapping[str, str]], key: str)
     """One row per key found in any role; every attribute is its largest non-NULL value.
 
     ``roles`` maps output names to input columns, one mapping per role. The roles are expanded in one
-    pass over the input. Distinct tuples come first because a distinct aggregates text in a hash
-    table map-side, while ``max`` over text would sort the whole input.
+    pass over the input. Tuples are counted first because counting groups text in a hash table
+    map-side, while ``max`` over text sorts its input, which is then small. (A plain distinct would be
+    removed by the optimizer as redundant below ``max``; testing its count keeps it.)
     """
     names = list(roles[0])
     expanded = df.select(
         F.inline(F.array(*[F.struct(*[F.col(role[n]).alias(n) for n in names]) for role in roles]))
     )
     attributes = [n for n in names if n != key]
-    return expanded.distinct().groupBy(key).agg(*[F.max(a).alias(a) for a in attributes])
+    tuples = expanded.groupBy(*names).agg(F.count("*").alias("_rows")).filter("_rows > 0")
+    return tuples.groupBy(key).agg(*[F.max(a).alias(a) for a in attributes])
 
 
 def project_fact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
