@@ -108,14 +108,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
     def scanned(batches):
+        built = [automaton(block.value, window) for block in shared]
         for batch in slices(batches, "_text"):
             out = {n: [] for n in ("n_words", "n_hit", "ids", "words", "bytes")}
             for value in batch.column("_text").to_pylist():
                 n, hit, owners, spans = 0, [], set(), []
-                for block in shared:
-                    n, more, names, places = scan(value or b"", automaton(block.value, window))
+                for one in built:
+                    n, more, names, places = scan(value or b"", one)
                     hit, spans, owners = [*hit, *more], [*spans, *places], owners | names
-                if len(shared) > 1:
+                if len(built) > 1:
                     hit, spans = union(hit), union(spans)
                 out["n_words"].append(n)
                 out["n_hit"].append(sum(b - a for a, b in hit))

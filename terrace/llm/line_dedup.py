@@ -291,13 +291,16 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Si
     )
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Similarity = Similarity()) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Similarity = Similarity(),
+                    length: str | None = None) -> DataFrame:
     """``docs`` with the removed lines cut from the text. A document that loses all lines that had a word goes;
-    one that loses nothing is unchanged, whatever its text."""
+    one that loses nothing is unchanged, whatever its text. ``length``: a column to set to the characters left."""
     gone = removals(similar_lines(docs, key, text, how), key).where(F.size("removed") > 0)
     gone = gone.select(F.col(key).alias("_key"), F.col("doc_hash").alias("_hash"), F.col("removed").alias("_removed"))
     same = docs[key].eqNullSafe(gone["_key"]) & (F.xxhash64(docs[text]) == gone["_hash"])
     lines = F.transform(F.split(text, "\n"), lambda l, n: F.when(~F.array_contains("_removed", n), l))
     cut = F.array_join(F.array_compact(lines), "\n")
     rows = docs.join(gone, same, "left").withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(cut))
+    if length:
+        rows = rows.withColumn(length, F.when(F.col("_removed").isNull(), F.col(length)).otherwise(F.length(text)))
     return rows.where(F.col("_removed").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -289,3 +289,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
         component.alias("component_id"),
         F.coalesce(F.col(key) == component, component.isNull()).alias("kept"),
     )
+
+
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Settings = Settings()) -> DataFrame:
+    """One document of each component: the rows of ``docs`` whose key is kept. Rows that repeat a
+    kept key stay with it."""
+    judged = near_duplicates(docs, key, text, how).where("kept").select(F.col(key).alias("_kept")).distinct()
+    return docs.join(judged, docs[key].eqNullSafe(judged["_kept"]), "left_semi")

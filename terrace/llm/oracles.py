@@ -6,7 +6,25 @@ from __future__ import annotations
 _WORDS2 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 ORACLES = {
+    "op6_warc": rf"""
+with sized as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as sha from pages
+),
+winners as (select sha, max(page_id) as winner from sized group by sha),
+digests as (
+    select sha, array_to_string(list_transform(range(0, 32), lambda i: substr('{_ALPHABET}', 1 + cast(list_sum(
+        list_transform(range(0, 5), lambda k: ((strpos('0123456789abcdef', substr(sha, (5 * i + k) // 4 + 1, 1)) - 1)
+            // (1 << (3 - (5 * i + k) % 4)) % 2) * (1 << (4 - k)))) as int), 1)), '') as payload_digest
+    from winners
+)
+select page_id, payload_bytes, payload_digest,
+    case when page_id = winner then 'response' else 'revisit' end as record_type,
+    case when page_id = winner then null else winner end as refers_to
+from sized join winners using (sha) join digests using (sha)
+""",
     "op2_decontamination": rf"""
 with item_words as (
     select coalesce(cast(item_id as varchar), '') as item_id, {_WORDS2} as w from benchmark where text is not null

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import decontaminate, line_dedup, near_duplicates, packing, quality_rules, sharding, toxicity
-from terrace.llm.shared import table
+from terrace.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts, toxicity, warc
+from terrace.llm.shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,12 @@ def registered() -> dict[str, Query]:
     return dict(_registry)
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_counts.Rollup(spark, shared_folder(spark, "token-counts"))
+    return token_counts.counts_after_cleaning(table(spark, sf_dir, "documents"), rollup)
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -39,6 +45,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
