@@ -9,8 +9,8 @@ Equal sets are one class from the start, so copies cost nothing later. In a buck
 one centre only: the class whose buckets are largest, which for a group of edited copies tends to be what they
 were copied from. A star has as many edges as members. Classes linked to their centre are one component; pairs
 of a bucket that this leaves in different components are compared in a second round, inside blocks of bounded size,
-by their signatures (a pair is passed over only if its estimate lies five standard deviations below the
-threshold). Every link is confirmed on the full sets.
+by short hashes of the whole sets where both are small, else by their signatures (a pair is passed over only if
+its estimate lies five standard deviations below the threshold). Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ class Settings:
     bands: int = 40
     rows: int = 8
     block: int = 256  #: members of a bucket compared at a time in the second round
+    few: int = 640  #: sets up to this size are also kept whole, at 16 bits a shingle
 
     @property
     def bins(self) -> int:
@@ -120,6 +121,10 @@ def _signed(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
             bands = pa.array(band_keys(signature, how.bands).ravel())
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * how.bands)
             low = signature.astype(np.uint8)
+            ends = np.cumsum(n)
+            short = [
+                np.unique(sets[e - k : e].astype(np.uint16)).tobytes() if k <= how.few else None for e, k in zip(ends, n)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
@@ -127,11 +132,12 @@ def _signed(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
                     pa.array(class_of(sets, n)),
                     pa.ListArray.from_arrays(offsets, bands),
                     pa.array([row.tobytes() for row in low], pa.binary()),
+                    pa.array(short, pa.binary()),
                 ],
-                names=[key, "n", "cid", "bands", "sig"],
+                names=[key, "n", "cid", "bands", "sig", "short"],
             )
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, n bigint, cid bigint, bands array<bigint>, sig binary"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n bigint, cid bigint, bands array<bigint>, sig binary, short binary"
     return map_arrow(docs.select(key, F.col(text).alias("_text")), sign, schema)
 
 
@@ -205,36 +211,60 @@ def _second_round(members: DataFrame, reps: DataFrame, how: Settings) -> DataFra
     class; every pair of blocks is compared in one place, so no task holds more than two blocks of a bucket."""
     mixed_buckets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed_buckets = mixed_buckets.where("lo <> hi").select("bucket", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
-    rows = members.join(mixed_buckets, "bucket").join(reps.select("cid", "n", "sig"), "cid")
+    rows = members.join(mixed_buckets, "bucket").join(reps.select("cid", "n", "sig", "short"), "cid")
     own = F.pmod(F.xxhash64("cid", "bucket"), F.col("blocks")).cast("int")
     placed = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
-        "bucket", "cid", "root", "n", "sig", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+        "bucket", "cid", "root", "n", "sig", "short", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
     dealt = placed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "cid")
 
+    sure, margin = how.percent / 100 + 0.02, 0.02  # short hashes of 640 shingles agree by chance in under 1 %
+
     def pairs_of(rows: list) -> tuple[list, list]:
         us, vs = [], []
         cid, root, n, own, lo, hi = (np.array([r[i] for r in rows]) for i in range(6))
         sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, how.bins)
+        whole = np.array([r[7] is not None for r in rows])
+        shorts = [np.frombuffer(r[7], np.uint16) if r[7] is not None else np.empty(0, np.uint16) for r in rows]
+        sizes = np.array([len(x) for x in shorts])
+        flat, ends = np.concatenate(shorts), np.cumsum(sizes)
         between = lo[0] != hi[0]
+        held = np.zeros(1 << 16, bool)
         for k in range(len(rows) - 1):
             end = int(np.searchsorted(n, n[k] * 100 // how.percent, side="right"))
             later = slice(k + 1, end)
             wanted = np.nonzero((root[later] != root[k]) & ((own[later] != own[k]) | (not between)))[0] + k + 1
-            if len(wanted):
-                _, possible = alike(sig[wanted], sig[k], np.minimum(n[wanted], n[k]), how)
-                us += [int(cid[k])] * int(possible.sum())
-                vs += cid[wanted][possible].tolist()
+            if not len(wanted):
+                continue
+            _, possible = alike(sig[wanted], sig[k], np.minimum(n[wanted], n[k]), how)
+            wanted = wanted[possible]
+            near = np.ones(len(wanted))
+            exact = whole[wanted] & whole[k]
+            if exact.any():
+                some = wanted[exact]
+                held[shorts[k]] = True
+                total = np.concatenate(([0], np.cumsum(held[flat[ends[some[0]] - sizes[some[0]] : ends[some[-1]]]])))
+                base = ends[some[0]] - sizes[some[0]]
+                shared = total[ends[some] - base] - total[ends[some] - sizes[some] - base]
+                held[shorts[k]] = False
+                near[exact] = shared / np.maximum(1, sizes[some] + sizes[k] - shared)
+                wanted, near, exact = (x[(near >= how.percent / 100 - margin) | ~exact] for x in (wanted, near, exact))
+            for j, like, known in zip(wanted.tolist(), near.tolist(), exact.tolist()):
+                if root[j] != root[k]:
+                    us.append(int(cid[k]))
+                    vs.append(int(cid[j]))
+                    if known and like >= sure:  # will be confirmed: from here on one component
+                        root[root == root[j]] = root[k]
         return us, vs
 
     def compare(batches):
         held, at = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cid", "root", "n", "own", "lo", "hi", "sig", "bucket")]
+            columns = [batch.column(c).to_pylist() for c in ("cid", "root", "n", "own", "lo", "hi", "sig", "short", "bucket")]
             us, vs = [], []
             for row in zip(*columns):
-                where = (row[7], row[4], row[5])
+                where = (row[8], row[4], row[5])
                 if where != at:
                     if len(held) > 1:
                         u, v = pairs_of(held)
@@ -262,7 +292,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     signed = stored(_signed(docs, key, text, how), "near-signatures")
     full = signed.where("n > 0")
     classes = full.groupBy("cid").agg(F.min(key).alias("first"))
-    reps = stored(full.select("cid", "n", "bands", "sig").dropDuplicates(["cid"]), "near-classes")
+    reps = stored(full.select("cid", "n", "bands", "sig", "short").dropDuplicates(["cid"]), "near-classes")
     buckets = reps.select("cid", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(buckets.join(sizes, "bucket"), "near-buckets")
