@@ -11,7 +11,7 @@ from terrace.lake import Lake, create_schemas
 from terrace.operators.clean import accepted, rejected, safe_names
 from terrace.operators.quality import enforce, file_counts, gate, reconcile
 from terrace.sinks.snapshot import SnapshotTable
-from terrace.sinks.tables import clustered, read_batches, save_gold, write_batch
+from terrace.sinks.tables import clustered, publish, read_batches, stage_gold, write_batch
 from terrace.sources.files import RESCUED, headers_of, new_files, pin_columns, pinned_columns, read_with_rescue
 from terrace.spec import TableSpec
 from terrace.streaming.run import DRAIN, finish, per_batch
@@ -75,7 +75,7 @@ def run_bronze(
         headers = headers_of(spark, sorted(row["path"] for row in batch.collect()))
         if headers:
             columns = pin_columns(spark, column_store(lake, feed), list(headers.values()))
-            write_batch(read_with_rescue(spark, headers, columns), bronze_path(lake, feed), batch_id)
+            write_batch(read_with_rescue(spark, headers, columns), bronze_path(lake, feed), batch_id, writer)
 
     found = new_files(spark, lake.landing(feed), glob, files_per_batch)
     finish(per_batch(found, ingest, lake.checkpoint("bronze", feed)), DRAIN)
@@ -96,7 +96,7 @@ def run_silver(
 
     def clean_and_upsert(batch: DataFrame, batch_id: int, writer: str) -> None:
         target.upsert(accepted(batch, spec), batch_id, writer)
-        write_batch(rejected(batch, spec), quarantine_path(lake, feed), batch_id)
+        write_batch(rejected(batch, spec), quarantine_path(lake, feed), batch_id, writer)
 
     reader = spark.readStream.schema(bronze_schema(spark, lake, feed))
     if bytes_per_batch:
@@ -109,7 +109,8 @@ def run_silver(
 
 
 def run_gold(spark: SparkSession, lake: Lake, silver: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """Rebuild the star schema from silver, then check it; raises if it is broken. Returns the checks.
+    """Rebuild the star schema from silver beside the published one, check it, and only then publish it; raises
+    and leaves the old tables as they are if it is broken. Returns the checks.
 
     Silver is scanned in full once, for the fact, which is written in its clustered layout at once. The
     rollup reads the written fact, and the date and carrier dimensions read the rollup, which names
@@ -117,15 +118,24 @@ def run_gold(spark: SparkSession, lake: Lake, silver: DataFrame | None = None, p
     """
     silver = silver_table(spark, lake).read() if silver is None else silver
     laid_out = clustered(model.fact_flights(silver), ["date_key", "carrier_code"], partitions)
-    fact = save_gold(laid_out, lake, "fact_flights")
-    agg = save_gold(model.agg_daily_route(fact), lake, "agg_daily_route")
+    staged: dict[str, tuple[DataFrame, str]] = {}
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        staged[name] = stage_gold(df, lake, name)
+        return staged[name][0]
+
+    fact = stage(laid_out, "fact_flights")
+    agg = stage(model.agg_daily_route(fact), "agg_daily_route")
     dimensions = {
-        "dim_date": save_gold(model.dim_date(model.dates_of(agg)), lake, "dim_date"),
-        "dim_carrier": save_gold(model.dim_carrier(agg), lake, "dim_carrier"),
-        "dim_airport": save_gold(model.dim_airport(silver), lake, "dim_airport"),
+        "dim_date": stage(model.dim_date(model.dates_of(agg)), "dim_date"),
+        "dim_carrier": stage(model.dim_carrier(agg), "dim_carrier"),
+        "dim_airport": stage(model.dim_airport(silver), "dim_airport"),
     }
     report = gate(silver, fact, dimensions, model.REFERENCES)
-    return spark.createDataFrame(enforce(report), report.schema)
+    checks = spark.createDataFrame(enforce(report), report.schema)
+    for name, (frame, place) in staged.items():
+        publish(spark, lake.gold(name), frame.schema, place)
+    return checks
 
 
 def run_batch(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:

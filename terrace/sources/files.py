@@ -16,6 +16,11 @@ from terrace.operators.clean import safe_names, with_lineage
 from terrace.sinks import fs
 
 RESCUED = "_rescued_data"
+#: A file is new if it was never seen, however old its time stamp is (backfills, copies that keep time stamps). The
+#: price is that a stream remembers every path: about 100 bytes each in its checkpoint.
+NO_AGE_LIMIT = "36500d"
+#: Fields beyond the header that are looked at in each row.
+SPARE_FIELDS = 4
 
 
 def read_csv(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
@@ -31,7 +36,7 @@ def new_files(spark: SparkSession, path: str, glob: str, per_batch: int) -> Data
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
-        .options(pathGlobFilter=glob, recursiveFileLookup=True, maxFilesPerTrigger=per_batch)
+        .options(pathGlobFilter=glob, recursiveFileLookup=True, maxFilesPerTrigger=per_batch, maxFileAge=NO_AGE_LIMIT)
         .load(path)
         .filter("length > 0")
         .select("path")
@@ -64,9 +69,12 @@ def pin_columns(spark: SparkSession, store: str, headers: Sequence[tuple[str, ..
 
 def _aligned(spark: SparkSession, header: tuple[str, ...], paths: list[str], columns: Sequence[str]) -> DataFrame:
     """Files of one header as text columns in the pinned order. Names are matched exactly; what the
-    pinned columns do not cover is kept as JSON."""
-    positions = StructType([StructField(f"_{i}", StringType()) for i in range(len(header))])
-    rows = with_lineage(spark.read.schema(positions).option("header", True).csv(paths))
+    pinned columns do not cover is kept as JSON. A row with more fields than its header keeps its whole text there."""
+    names = [*range(len(header)), *(f"spare{i}" for i in range(SPARE_FIELDS)), "row"]
+    positions = StructType([StructField(f"_{i}", StringType()) for i in names])
+    reader = spark.read.schema(positions).option("header", True).option("columnNameOfCorruptRecord", "_row")
+    rows = with_lineage(reader.csv(paths))
+    surplus = reduce(lambda a, b: a | b, [F.col(f"_spare{i}").isNotNull() for i in range(SPARE_FIELDS)])
     place: dict[str, int] = {}
     for i, name in enumerate(header):
         place.setdefault(name, i)
@@ -75,12 +83,9 @@ def _aligned(spark: SparkSession, header: tuple[str, ...], paths: list[str], col
         for c, safe in zip(columns, safe_names(columns))
     ]
     extra = [(i, n if place[n] == i else f"{n}#{i}") for i, n in enumerate(header) if n not in columns or place[n] != i]
-    if extra:
-        present = reduce(lambda a, b: a | b, [F.col(f"_{i}").isNotNull() for i, _ in extra])
-        packed = F.to_json(F.struct(*[F.col(f"_{i}").alias(n) for i, n in extra]))
-        rescued = F.when(present, packed)
-    else:
-        rescued = F.lit(None).cast("string")
+    present = reduce(lambda a, b: a | b, [F.col(f"_{i}").isNotNull() for i, _ in extra], surplus)
+    row = F.when(surplus, F.col("_row")).alias("_surplus_row")
+    rescued = F.when(present, F.to_json(F.struct(*[F.col(f"_{i}").alias(n) for i, n in extra], row)))
     return rows.select(*known, rescued.alias(RESCUED), "_ingest_ts", "_source_file")
 
 
@@ -94,7 +99,7 @@ def read_with_rescue(spark: SparkSession, headers: dict[str, tuple[str, ...]], c
 
 def text_events(spark: SparkSession, path: str, glob: str = "*", per_batch: int | None = None) -> DataFrame:
     """JSON-lines files as an event source with the columns of a broker record."""
-    reader = spark.readStream.option("pathGlobFilter", glob)
+    reader = spark.readStream.option("pathGlobFilter", glob).option("maxFileAge", NO_AGE_LIMIT)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
     return reader.text(path).select(

@@ -43,8 +43,8 @@ def test_untouched_partitions_are_not_rewritten(table, rows):
     table.upsert(rows((1, JAN, "a"), (3, FEB, "c")), 0)
     table.upsert(rows((1, JAN, "A")), 1)
     partitions = table._manifest()["partitions"]
-    assert partitions["_part=2024-02"] == ["v=0000000001/rows=in"]
-    assert partitions["_part=2024-01"] == ["v=0000000002/rows=in"]
+    assert partitions["_part=2024-02"] == ["_version=0000000001/_rows=in"]
+    assert partitions["_part=2024-01"] == ["_version=0000000002/_rows=in"]
 
 
 def test_replayed_batch_changes_nothing(table, rows):
@@ -100,13 +100,13 @@ def test_all_rows_of_a_partition_can_be_outdated_or_replaced(spark, tmp_path, ro
 
 
 def test_old_versions_expire_but_used_folders_stay(spark, tmp_path, rows):
-    table = SnapshotTable(spark, str(tmp_path / "t"), ["id", "day"], ("day", "month"), retain=2)
+    table = SnapshotTable(spark, str(tmp_path / "t"), ["id", "day"], ("day", "month"), retain=2, retain_hours=0)
     table.upsert(rows((9, FEB, "kept")), 0)
     for i in range(1, 6):
         table.upsert(rows((1, JAN, str(i))), i)
     assert content(table) == {(9, FEB): "kept", (1, JAN): "5"}
-    folders = [n for n in fs.children(spark, table.path) if n.startswith("v=")]
-    assert folders == ["v=0000000001", "v=0000000005", "v=0000000006"]
+    folders = [n for n in fs.children(spark, table.path) if n.startswith("_version=")]
+    assert folders == ["_version=0000000001", "_version=0000000005", "_version=0000000006"]
     assert len(table._versions()) == 2
 
 
@@ -134,7 +134,7 @@ def test_hot_partition_is_spread_over_files(spark, tmp_path):
         table.upsert(hot, 0)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
-    files = [f for f in fs.children(spark, f"{table.path}/v=0000000001/rows=in/_part=2024-01") if f.endswith(".parquet")]
+    files = [f for f in fs.children(spark, f"{table.path}/_version=0000000001/_rows=in/_part=2024-01") if f.endswith(".parquet")]
     assert len(files) > 3 and table.read().count() == 400_000
 
 
@@ -207,3 +207,44 @@ def test_text_files_are_written_once(spark, tmp_path):
     assert fs.children(spark, str(tmp_path / "m")) == ["1.json"]
     fs.remove(spark, path)
     assert not fs.exists(spark, path)
+
+
+def test_batches_of_two_writers_with_one_id_both_stay(spark, tmp_path):
+    path = str(tmp_path / "appended")
+    write_batch(spark.range(2), path, 0, "first checkpoint")
+    write_batch(spark.range(2), path, 0, "second checkpoint")
+    write_batch(spark.range(3), path, 0, "second checkpoint")
+    assert read_batches(spark, path).count() == 5
+
+
+def test_partitions_do_not_follow_the_session_zone(spark, tmp_path):
+    target = SnapshotTable(spark, str(tmp_path / "zones"), ["ts"], ("ts", "day"))
+    moment = "timestamp_seconds(1692664200)"  # 00:30 UTC
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for number, name in enumerate(("UTC", "America/New_York")):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            target.upsert(spark.sql(f"select {moment} as ts, {number} as v"), number)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.v for r in target.read().collect()] == [1]
+
+
+def test_a_dead_attempt_leaves_nothing_under_dynamic_overwrite(spark, tmp_path):
+    target = SnapshotTable(spark, str(tmp_path / "dead"), ["id", "d"], ("d", "month"))
+    spark.sql("select 9 as id, '2023-03' as _part").write.partitionBy("_part").parquet(str(tmp_path / "dead/_version=0000000001/_rows=in"))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        target.upsert(spark.sql("select 1 as id, date'2023-01-05' as d"), 0)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [r.id for r in target.read().collect()] == [1]
+
+
+def test_a_batch_without_a_stored_column_is_refused(spark, tmp_path):
+    target = SnapshotTable(spark, str(tmp_path / "columns"), ["id", "d"], ("d", "month"))
+    target.upsert(spark.sql("select 1 as id, date'2023-01-05' as d, 7 as v"), 0)
+    with pytest.raises(ValueError, match="column v"):
+        target.upsert(spark.sql("select 2 as id, date'2023-01-05' as d"), 1)
+    target.upsert(spark.sql("select 2 as id, date'2023-01-05' as d, 8 as v, 'x' as w"), 1)
+    assert {(r.id, r.v, r.w) for r in target.read().collect()} == {(1, 7, None), (2, 8, "x")}

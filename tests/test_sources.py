@@ -97,10 +97,10 @@ def test_folder_names_do_not_replace_file_columns(spark, tmp_path, landing):
 
 
 def test_quoted_headers_and_values(spark, tmp_path, landing):
-    landing("a.csv", '﻿"City, State","N"', '"Seattle, WA",1')
+    landing("a.csv", '﻿"City, State","N"', '"Boise, ID",1')
     ingest(spark, tmp_path)
     columns, rows = bronze(spark, tmp_path)
-    assert columns[:2] == ["City__State", "N"] and rows == [("Seattle, WA", "1", None)]
+    assert columns[:2] == ["City__State", "N"] and rows == [("Boise, ID", "1", None)]
 
 
 def test_repeated_header_names_keep_both_values(spark, tmp_path, landing):
@@ -122,3 +122,31 @@ def test_headers_are_read_for_many_files(spark, tmp_path, landing):
         landing(f"{i}.csv", f"A,B{i % 3}", "1,2")
     paths = [str(p) for p in (tmp_path / "landing" / "feed").iterdir()]
     assert set(headers_of(spark, paths).values()) == {("A", "B0"), ("A", "B1"), ("A", "B2")}
+
+
+def test_a_file_dated_far_back_is_ingested_later(spark, tmp_path):
+    import os
+    import time
+
+    lake = Lake(str(tmp_path / "aged"))
+    folder = tmp_path / "aged" / "landing" / "flights"
+    folder.mkdir(parents=True)
+    (folder / "now.csv").write_text("A,B\n1,2\n")
+    run_bronze(spark, lake)
+    (folder / "old.csv").write_text("A,B\n3,4\n")
+    before = time.time() - 40 * 86400
+    os.utime(folder / "old.csv", (before, before))
+    run_bronze(spark, lake)
+    assert {(r.A, r.B) for r in bronze_rows(spark, lake).collect()} == {("1", "2"), ("3", "4")}
+
+
+def test_fields_beyond_the_header_are_rescued(spark, tmp_path):
+    lake = Lake(str(tmp_path / "surplus"))
+    folder = tmp_path / "surplus" / "landing" / "flights"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("A,B\n1,2,3\n4,5\n6\n7,8,,9\n")
+    run_bronze(spark, lake)
+    rows = {r.A: (r.B, json.loads(r._rescued_data) if r._rescued_data else None) for r in bronze_rows(spark, lake).collect()}
+    assert rows == {
+        "1": ("2", {"_surplus_row": "1,2,3"}), "4": ("5", None), "6": (None, None), "7": ("8", {"_surplus_row": "7,8,,9"}),
+    }
