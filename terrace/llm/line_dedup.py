@@ -8,10 +8,12 @@ agree by chance. Two lines are similar if the Jaccard similarity of their sets i
    order a little less apt, never the result wrong).
 2. Each set's tokens are ordered by (rarity, hash). Similar sets share one of their first
    ``size - ceil(t * size) + 1`` tokens (prefix filter); a token that only one line holds is left out of it.
-3. Equal sets are one class, so a line repeated in a third of all documents is joined once.
-4. Prefix tokens are joined; sizes must be within t, the tokens still to come must suffice from the shared
-   place on (positional filter), and so must the tokens that a 128-bit map of either set rules out.
-5. Candidates are verified on their whole sets, read again from the documents that hold them.
+3. Lines meet in the group of each prefix token. Equal sets are one class there. A group of more than ``block`` classes
+   is cut into blocks, and every two blocks meet in one place, so no task holds more than two blocks.
+4. In a group, sizes must be within t, the tokens from the shared one on must suffice (positional filter), and so must
+   the tokens that a 128-bit map of either set rules out. Classes without any partner leave here, without their sets.
+5. The others are verified on whole sets, read again from documents that hold them. A pair counts in the group of
+   its first shared token only. Links leave a task as one row for each class: their number and the earliest partner.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import map_arrow, slices, stored
@@ -37,6 +39,7 @@ PAGE_BITS = 12
 class Similarity:
     percent: int = 80
     min_tokens: int = 5
+    block: int = 512
 
 
 @dataclass
@@ -46,15 +49,15 @@ class Lines:
     text: np.ndarray  #: which text each line is of
     number: np.ndarray  #: which line of it, from 0
     size: np.ndarray
-    tokens: np.ndarray  #: distinct token hashes of all lines in a row, sorted within a line
+    tokens: np.ndarray  #: distinct token hashes of all lines in a row, within a line ordered by (level, hash)
 
     @property
     def ends(self) -> np.ndarray:
         return np.cumsum(self.size)
 
 
-def lines_of(texts: pa.Array, min_tokens: int, only: pa.Array | None = None) -> Lines:
-    """``only``: for each text the numbers of the lines to take (all if absent)."""
+def lines_of(texts: pa.Array, min_tokens: int, only: pa.Array | None = None, level: np.ndarray | None = None) -> Lines:
+    """``only``: for each text the numbers of the lines to take (all if absent). ``level``: the rarity table."""
     parts = pc.split_pattern(translated(texts, WHITE_IN_LINES), "\n")
     per_text = np.diff(parts.offsets.to_numpy())
     text = np.repeat(np.arange(len(texts)), per_text)
@@ -66,18 +69,19 @@ def lines_of(texts: pa.Array, min_tokens: int, only: pa.Array | None = None) ->
         flat, text, number = flat.filter(pa.array(keep)), text[keep], number[keep]
     codes, counts, distinct = split(flat)
     size = np.zeros(len(counts), np.int64)
+    line, tokens = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(codes):
+        hashes = hashed(distinct)
+        order = np.argsort(hashes) if level is None else np.lexsort((hashes, level[cells(hashes)]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         line = np.repeat(np.arange(len(counts)), counts)
-        order = np.unique(line * len(distinct) + codes)
-        line, code = np.divmod(order, len(distinct))
+        line, code = np.divmod(np.unique(line * len(distinct) + rank[codes]), len(distinct))
         size = np.bincount(line, minlength=len(counts))
-        tokens = hashed(distinct)[code]
-    else:
-        line, tokens = np.empty(0, np.int64), np.empty(0, np.uint64)
+        tokens = hashes[order][code]
     enough = size >= max(1, min_tokens)
-    tokens, line = tokens[enough[line]], line[enough[line]]
-    tokens = tokens[np.lexsort((tokens, line))]
-    return Lines(text[enough], number[enough], size[enough], tokens)
+    kept = enough[line]
+    return Lines(text[enough], number[enough], size[enough], tokens[kept])
 
 
 def sums_by_line(values: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -140,19 +144,20 @@ def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
     return out
 
 
-def prefixes(lines: Lines, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines in a row: prefix tokens that more than one line may hold, their place in the order; and how
-    many each line has."""
+def prefixes(lines: Lines, level: np.ndarray, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines in a row: prefix tokens that more than one line may hold, their place in the order, whether
+    more than a block of lines may hold them; and how many each line has. The lines are ordered by ``level``."""
     rank = level[cells(lines.tokens)]
-    line = np.repeat(np.arange(len(lines.size)), lines.size)
-    order = np.lexsort((lines.tokens, rank, line))
-    place = np.arange(len(order)) - np.repeat(lines.ends - lines.size, lines.size)
-    length = lines.size - -(-percent * lines.size // 100) + 1
-    kept = (place < np.repeat(length, lines.size)) & (rank[order] > 1)
-    return lines.tokens[order][kept], place[kept], np.bincount(line[kept], minlength=len(lines.size))
+    place = np.arange(len(rank)) - np.repeat(lines.ends - lines.size, lines.size)
+    length = lines.size - -(-how.percent * lines.size // 100) + 1
+    kept = (place < np.repeat(length, lines.size)) & (rank > 1)
+    line = np.repeat(np.arange(len(lines.size)), lines.size)[kept]
+    often = rank[kept] >= min(255, int(8 * np.log2(how.block)))
+    return lines.tokens[kept], place[kept], often, np.bincount(line, minlength=len(lines.size))
 
 
-_OCCURRENCE = "doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, prefix array<struct<token:int,place:int>>"
+_PREFIX = "array<struct<token:bigint,place:int,often:boolean>>"
+_OCCURRENCE = f"doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, prefix {_PREFIX}"
 
 
 def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) -> DataFrame:
@@ -161,23 +166,22 @@ def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) ->
     def read(batches):
         seen: set[int] = set()
         for batch in slices(batches, "_text"):
-            lines = lines_of(batch.column("_text"), how.min_tokens)
+            lines = lines_of(batch.column("_text"), how.min_tokens, level=level.value)
             fp, (b0, b1) = fingerprints(lines), bitmaps(lines)
-            token, place, n = prefixes(lines, level.value, how.percent)
+            token, place, often, n = prefixes(lines, level.value, how)
             first = np.array([not (f in seen or seen.add(f)) for f in fp.tolist()], bool)
             if len(seen) > 1_000_000:
                 seen.clear()
             held = np.repeat(first, n)
-            token, place, n = token[held], place[held], np.where(first, n, 0)
+            n = np.where(first, n, 0)
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            short = (token >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(short), pa.array(place.astype(np.int32))], names=["token", "place"])
+            members = [pa.array(token[held].view(np.int64)), pa.array(place[held].astype(np.int32)), pa.array(often[held])]
             row = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key).take(row), batch.column("_hash").take(row), pa.array(lines.number.astype(np.int32)),
                     pa.array(fp), pa.array(lines.size.astype(np.int32)), pa.array(b0), pa.array(b1),
-                    pa.ListArray.from_arrays(offsets, pairs),
+                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(members, names=["token", "place", "often"])),
                 ],
                 names=[key, "doc_hash", "line", "fp", "size", "b0", "b1", "prefix"],
             )
@@ -186,56 +190,198 @@ def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) ->
     return map_arrow(rows, read, f"`{key}` {dict(docs.dtypes)[key]}, {_OCCURRENCE}")
 
 
-def _candidates(lines: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of classes (u, v) that pass the prefix, length, positional and bitmap filters."""
-    classes = lines.where(F.size("prefix") > 0).groupBy("fp").agg(
-        F.first("size").alias("size"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prefix").alias("prefix")
-    )
-    rows = classes.select("fp", "size", "b0", "b1", F.explode("prefix").alias("p"))
-    rows = rows.select(F.col("p.token").alias("token"), F.col("p.place").cast("smallint").alias("place"), "fp", "size", "b0", "b1")
-    a, b = (rows.select(F.col("token"), *(F.col(c).alias(f"{c}_{s}") for c in rows.columns[1:])) for s in "ab")
-    t = how.percent
-    sizes = F.col("size_a") + F.col("size_b")
-    need = lambda overlap: (100 + t) * overlap >= t * sizes  # noqa: E731  overlap / (sizes - overlap) >= t / 100
-    to_come = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
-
-    def beyond(x: str, y: str) -> Column:
-        return sum(F.bit_count(F.col(f"{w}_{x}").bitwiseAND(F.bitwise_not(f"{w}_{y}"))) for w in ("b0", "b1"))
-
-    # of two classes the smaller one is a; equal sizes are told apart by the fingerprint
-    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("fp_a") < F.col("fp_b")))
-    likely = (
-        ordered
-        & (100 * F.col("size_a") >= t * F.col("size_b"))
-        & need(to_come + F.least("place_a", "place_b"))
-        & need(F.col("size_a") - beyond("a", "b"))
-        & need(F.col("size_b") - beyond("b", "a"))
-    )
-    return a.join(b, (a["token"] == b["token"]) & likely).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct()
-
-
-def _sets(docs: DataFrame, firsts: DataFrame, key: str, text: str, how: Similarity) -> DataFrame:
-    """(fp, tokens) of the lines named in ``firsts`` (key, doc_hash, line)."""
+def _groups(lines: DataFrame, how: Similarity) -> DataFrame:
+    """A row for each class and prefix token, dealt and sorted by the group (token, lo, hi)."""
+    rows = lines.where(F.size("prefix") > 0).select("fp", "size", "b0", "b1", F.col("prefix.token").alias("all"), F.posexplode("prefix"))
+    before = F.when(F.col("pos") > 0, F.col("all")[F.col("pos") - 1])  # the prefix token ahead of this one
+    rows = rows.select("col.token", "col.place", "col.often", "fp", "size", "b0", "b1", before.alias("before"))
+    often = rows.where("often")
+    large = often.select("token", "fp").distinct().groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > how.block)
+    split = often.join(large.select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "token", "left")
+    split = split.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("own", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    none = F.lit(0)
+    whole = rows.where("not often").select("*", none.alias("own"), none.alias("lo"), none.alias("hi"))
+    return _dealt(split.select(*whole.columns).unionByName(whole).drop("often"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "size", "fp")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, cut where (token, lo, hi) changes only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = [batch.column(c).to_numpy() for c in ("token", "lo", "hi")]
+        new = np.zeros(batch.num_rows, bool)
+        for column in group:
+            new[1:] |= column[1:] != column[:-1]
+        if held:
+            new[0] = any(held[-1].column(c)[-1].as_py() != column[0] for c, column in zip(("token", "lo", "hi"), group))
+        cut = int(np.nonzero(new)[0][-1]) if new.any() else None
+        if cut is None:
+            held.append(batch)
+            continue
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held:
+            yield pa.Table.from_batches(held)
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Group:
+    """Rows of whole groups, equal sets of a group once, and the pairs that pass the filters."""
+
+    CHUNK = 1_000_000  #: pairs looked at in one go
+
+    def __init__(self, table: pa.Table, how: Similarity):
+        self.percent = how.percent
+        columns = {c: table.column(c).to_numpy() for c in ("token", "lo", "hi", "size", "fp")}
+        group = np.zeros(table.num_rows, bool)
+        for c in ("token", "lo", "hi"):
+            group[1:] |= columns[c][1:] != columns[c][:-1]
+        fresh = group | np.concatenate(([True], columns["fp"][1:] != columns["fp"][:-1]))
+        self.table = table.filter(pa.array(fresh))
+        self.group = np.cumsum(group)[fresh]
+        self.size, self.fp = columns["size"][fresh].astype(np.int64), columns["fp"][fresh]
+        self.place, self.own = (self.table.column(c).to_numpy().astype(np.int64) for c in ("place", "own"))
+        self.apart = self.table.column("lo").to_numpy() != self.table.column("hi").to_numpy()
+        self.maps = [self.table.column(c).to_numpy() for c in ("b0", "b1")]
+        before = self.table.column("before")
+        self.before, self.leads = pc.fill_null(before, 0).to_numpy(), pc.is_null(before).to_numpy()
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j), i before j, in ascending order of i. Those that share the token ahead of the group's as well are
+        counted in an earlier group."""
+        base = int(self.size.max()) * 200 + 1
+        if base * (int(self.group[-1]) + 1) >= 2**62:
+            raise ValueError("a line has too many words")
+        end = np.searchsorted(self.group * base + self.size, self.group * base + self.size * 100 // self.percent, side="right")
+        n = end - np.arange(len(end)) - 1
+        total = np.cumsum(n)
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + self.CHUNK, side="right")))
+            some = n[first:last]
+            i = np.repeat(np.arange(first, last), some)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + i + 1
+            first = last
+            keep = self._likely(i, j)
+            if keep.any():
+                yield i[keep], j[keep]
+
+    def _likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sizes, t = self.size[i] + self.size[j], self.percent
+        need = -(-t * sizes // (100 + t))  # overlap / (sizes - overlap) >= t / 100
+        keep = np.minimum(self.size[i] - self.place[i], self.size[j] - self.place[j]) >= need
+        keep &= (self.own[i] != self.own[j]) | ~self.apart[i]
+        keep &= (self.before[i] != self.before[j]) | self.leads[i] | self.leads[j]
+        at = np.nonzero(keep)[0]
+        i, j, need = i[at], j[at], need[at]
+        for a, b in ((i, j), (j, i)):
+            beyond = sum(np.bitwise_count((m[a] & ~m[b]).view(np.uint64)).astype(np.int64) for m in self.maps)
+            keep[at] &= self.size[a] - beyond >= need
+        return keep
+
+
+_ROW = "token bigint, lo int, hi int, own int, place int, before bigint, size int, b0 bigint, b1 bigint, fp bigint"
+_NAMES = [part.split()[0] for part in _ROW.split(", ")]
+
+
+def _with_partner(groups: DataFrame, how: Similarity) -> DataFrame:
+    """Rows of ``groups`` that have a partner which passes the filters."""
+
+    def scan(batches):
+        for table in whole_groups(batches):
+            group = Group(table, how)
+            has = np.zeros(len(group.fp), bool)
+            for i, j in group.pairs():
+                has[i] = has[j] = True
+            yield from group.table.filter(pa.array(has)).select(_NAMES).to_batches()
+
+    return map_arrow(groups.select(*_NAMES), scan, _ROW)
+
+
+def _sets(docs: DataFrame, firsts: DataFrame, key: str, text: str, level, how: Similarity) -> DataFrame:
+    """(fp, key, line, doc_hash, tokens) of the lines named in ``firsts`` (key, doc_hash, line), tokens by rarity."""
     wanted = firsts.groupBy(key, "doc_hash").agg(F.collect_set("line").alias("_only"))  # lines of one document
 
     def read(batches):
         for batch in slices(batches, "_text"):
-            lines = lines_of(batch.column("_text"), how.min_tokens, batch.column("_only"))
+            lines = lines_of(batch.column("_text"), how.min_tokens, batch.column("_only"), level.value)
             offsets = pa.array(np.concatenate(([0], lines.ends)).astype(np.int32))
             held = pa.ListArray.from_arrays(offsets, pa.array(lines.tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(lines)), held], names=["fp", "tokens"])
+            row = pa.array(lines.text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fingerprints(lines)), batch.column("_key").take(row), pa.array(lines.number.astype(np.int32)), batch.column("_hash").take(row), held],
+                names=["fp", "_key", "_line", "_hash", "tokens"],
+            )
 
     body = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     same = F.col("_key").eqNullSafe(F.col(key)) & (F.col("_hash") == F.col("doc_hash"))
-    rows = body.join(wanted, same).select("_text", "_only")
-    return map_arrow(rows, read, "fp bigint, tokens array<bigint>").dropDuplicates(["fp"])
+    rows = body.join(wanted, same).select("_key", "_hash", "_text", "_only")
+    schema = f"fp bigint, _key {dict(docs.dtypes)[key]}, _line int, _hash bigint, tokens array<bigint>"
+    return map_arrow(rows, read, schema).dropDuplicates(["fp"])
+
+
+def _verified(groups: DataFrame, how: Similarity) -> DataFrame:
+    """(u, n, v) for each row that is linked: how many links of u count in this group, and of their other ends
+    the one that occurs first."""
+
+    def verify(batches):
+        for table in whole_groups(batches):
+            group = Group(table, how)
+            tokens = group.table.column("tokens").combine_chunks()
+            if isinstance(tokens, pa.ChunkedArray):
+                tokens = tokens.chunk(0)
+            ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+            starts = ends - group.size
+            _, codes = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+            by_place = [("_key", "ascending"), ("_line", "ascending"), ("_hash", "ascending")]
+            order = pc.sort_indices(group.table, by_place, null_placement="at_start").to_numpy()
+            when = np.empty(len(order), np.int64)
+            when[order] = np.arange(len(order))
+            links, least = np.zeros(len(ends), np.int64), np.full(len(ends), len(ends), np.int64)
+            held = np.zeros(int(codes.max()) + 1, bool)
+            for i, j in group.pairs():
+                at = np.concatenate(([0], np.nonzero(np.diff(i))[0] + 1, [len(i)]))
+                for k, low, high in zip(i[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist()):
+                    others = j[low:high]
+                    base = starts[others[0]]
+                    own = codes[starts[k] : ends[k]]
+                    held[own] = True
+                    total = np.concatenate(([0], np.cumsum(held[codes[base : ends[others[-1]]]])))
+                    held[own] = False
+                    begin = starts[others] - base
+                    shared = total[ends[others] - base] - total[begin]
+                    home = total[begin + group.place[others]] == total[begin]  # nothing rarer is shared
+                    found = others[home & (100 * shared >= how.percent * (group.size[k] + group.size[others] - shared))]
+                    if len(found):
+                        links[k] += len(found)
+                        links[found] += 1
+                        least[k] = min(least[k], when[found].min())
+                        least[found] = np.minimum(least[found], when[k])
+            linked = np.nonzero(links)[0]
+            if len(linked):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group.fp[linked]), pa.array(links[linked]), pa.array(group.fp[order[least[linked]]])], names=["u", "n", "v"]
+                )
+
+    return map_arrow(groups, verify, "u bigint, n bigint, v bigint")
 
 
 @dataclass
 class Found:
     lines: DataFrame  #: every occurrence: key, doc_hash, line, fp
     classes: DataFrame  #: fp, first (key, line of the first occurrence), copies
-    links: DataFrame  #: u, v: similar classes with different sets
+    links: DataFrame  #: u, n, v: number of links of a class to other classes, in parts, and the earliest of each part
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Similarity = Similarity()) -> Found:
@@ -243,23 +389,20 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", how:
     lines = stored(occurrences(docs, key, text, level, how), "lines")
     place = F.struct(F.col(key).alias("key"), "line", "doc_hash")
     classes = lines.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    pairs = stored(_candidates(lines, how), "line-pairs")
-    ids = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    # the class's first occurrence is the least of few columns, so it is found again from the narrow table
-    firsts = classes.join(ids, "fp").select(F.col("first.key").alias(key), F.col("first.doc_hash").alias("doc_hash"), F.col("first.line").alias("line"))
-    sets = stored(_sets(docs, firsts, key, text, how), "line-sets")
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
-    links = shared.where(100 * F.col("i") >= how.percent * (F.col("s") - F.col("i"))).select("u", "v")
-    return Found(lines.select(key, "doc_hash", "line", "fp"), classes, stored(links, "line-links"))
+    likely = stored(_with_partner(_groups(lines, how), how), "line-groups")
+    firsts = classes.join(likely.select("fp").distinct(), "fp").select(
+        F.col("first.key").alias(key), F.col("first.doc_hash").alias("doc_hash"), F.col("first.line").alias("line")
+    )
+    sets = stored(_sets(docs, firsts, key, text, level, how), "line-sets")
+    links = stored(_verified(_dealt(likely.join(sets, "fp")), how), "line-links")
+    return Found(lines.select(key, "doc_hash", "line", "fp"), classes, links)
 
 
 def removals(found: Found, key: str = "doc_id") -> DataFrame:
     """key, doc_hash, removed (line numbers), n_links for every document that has a removed or a linked line. A
     line goes if a similar line stands earlier, in order of (key, line), whether or not that line goes too."""
-    links = found.links.union(found.links.select("v", "u"))
     first = found.classes.select(F.col("fp").alias("v"), F.col("first").alias("other"))
-    earlier = links.join(first, "v").groupBy("u").agg(F.min("other").alias("other"), F.count("*").alias("n"))
+    earlier = found.links.join(first, "v").groupBy("u").agg(F.min("other").alias("other"), F.sum("n").alias("n"))
     classes = found.classes.join(earlier, found.classes["fp"] == earlier["u"], "left").where("copies > 1 or u is not null")
     earliest = classes.select(
         F.col("fp"), F.least("first", F.coalesce("other", "first")).alias("earliest"), F.coalesce("n", F.lit(0)).alias("n")
