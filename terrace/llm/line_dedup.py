@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import map_arrow, slices, stored
-from terrace.llm.words import WHITE_IN_LINES, hashed, mixed, split, translated
+from terrace.llm.words import WHITE_IN_LINES, hashed, mixed, split, translated, unique
 
 #: Cells of the rarity table, and of one page of it.
 CELL_BITS = 22
@@ -76,7 +76,7 @@ def lines_of(texts: pa.Array, min_tokens: int, only: pa.Array | None = None, lev
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         line = np.repeat(np.arange(len(counts)), counts)
-        line, code = np.divmod(np.unique(line * len(distinct) + rank[codes]), len(distinct))
+        line, code = np.divmod(unique(line * len(distinct) + rank[codes]), len(distinct))
         size = np.bincount(line, minlength=len(counts))
         tokens = hashes[order][code]
     enough = size >= max(1, min_tokens)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.components import components
 from terrace.llm.shared import map_arrow, slices, stored
-from terrace.llm.words import WHITE, hashed, mixed, words
+from terrace.llm.words import WHITE, hashed, mixed, unique, words
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,7 +61,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
             if not count:
                 continue
             if count >= shingle:
-                found = np.unique(rolled[end - count : end - shingle + 1])
+                found = unique(rolled[end - count : end - shingle + 1])
             else:
                 value = np.array([count], np.uint64)
                 for h in of_word[end - count : end]:
@@ -123,7 +123,7 @@ def _signed(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
             low = signature.astype(np.uint8)
             ends = np.cumsum(n)
             short = [
-                np.unique(sets[e - k : e].astype(np.uint16)).tobytes() if k <= how.few else None for e, k in zip(ends, n)
+                unique(sets[e - k : e].astype(np.uint16)).tobytes() if k <= how.few else None for e, k in zip(ends, n)
             ]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import crc32_of_id, map_arrow, slices
-from terrace.llm.words import ALNUM, words
+from terrace.llm.words import ALNUM, unique, words
 
 FOLDS = 5
 PAD = b"  "
@@ -163,7 +163,7 @@ def _fit(sample: DataFrame, how: Fitting) -> Model:
             codes, counts, distinct = words(batch.column("_text"), ALNUM)
             row = np.repeat(np.arange(len(counts)), counts)
             toxic = batch.column("_toxic").to_numpy()
-            pairs = np.unique(row * max(1, len(distinct)) + codes)
+            pairs = unique(row * max(1, len(distinct)) + codes)
             row, code = np.divmod(pairs, max(1, len(distinct)))
             both = [np.bincount(code[toxic[row] == c], minlength=len(distinct)) for c in (1, 0)]
             yield pa.RecordBatch.from_arrays(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _table(separators) -> bytes:
@@ -71,8 +71,24 @@ def words(texts: pa.Array, table: bytes) -> Words:
 
 
 def hashed(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string, the same in every process."""
-    return pd.util.hash_array(np.array(distinct.to_pylist(), dtype=object), categorize=False)
+    """A 64-bit hash of each string, the same in every process: each (place, byte) has a random number, and a string's
+    numbers are summed and mixed with its length."""
+    distinct = distinct.cast(pa.large_string())
+    _, offsets, data = distinct.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if offsets else np.zeros(1, np.int64)
+    lengths = np.diff(offsets)
+    held = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    place = np.arange(len(held)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    with np.errstate(over="ignore"):
+        numbers = mixed((place.astype(np.uint64) << np.uint64(8) | held) * _PRIME + np.uint64(1))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers)))[offsets - offsets[0]]
+        return mixed(np.diff(total) + lengths.astype(np.uint64) * _PRIME)
+
+
+def unique(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending, by sorting (numpy's own way for whole numbers is a slower hash table)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
