@@ -39,7 +39,7 @@ PAGE_BITS = 12
 class Similarity:
     percent: int = 80
     min_tokens: int = 5
-    block: int = 512
+    block: int = 2048
 
 
 @dataclass
@@ -197,14 +197,14 @@ def _groups(lines: DataFrame, how: Similarity) -> DataFrame:
     rows = rows.select("col.token", "col.place", "col.often", "fp", "size", "b0", "b1", before.alias("before"))
     often = rows.where("often")
     large = often.select("token", "fp").distinct().groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > how.block)
-    split = often.join(large.select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "token", "left")
-    split = split.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    split = split.withColumn("own", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    large = stored(large.select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "line-hot")
     none = F.lit(0)
-    whole = rows.where("not often").select("*", none.alias("own"), none.alias("lo"), none.alias("hi"))
-    return _dealt(split.select(*whole.columns).unionByName(whole).drop("often"))
+    small = rows.where("not often").unionByName(often.join(large, "token", "left_anti")).drop("often")
+    small = small.select("*", none.alias("own"), none.alias("lo"), none.alias("hi"))
+    split = often.join(large, "token").withColumn("own", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
+    split = split.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return _dealt(small.unionByName(split.select(*small.columns)))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
