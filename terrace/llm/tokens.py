@@ -2,22 +2,24 @@
 
 The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words
 are split at spaces and line feeds only (other white space stays inside a "word" and is left to the tokenizer),
-each distinct word is encoded once, and its ids are kept for the next batches in a bounded store.
+each distinct word is encoded once, and its ids are kept by the word's 64-bit hash for the next batches, in a
+bounded store.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from terrace.llm.words import split
+from terrace.llm.words import hashed, split
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids a process keeps; beyond, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 class WordIds:
@@ -28,31 +30,43 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = np.empty(0, np.uint64)  # hashes of the words kept, ascending
+        self.slot = np.empty(0, np.int64)  # and where each word's length and start stand
         self.ids = np.empty(0, np.uint16)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
-    def _places(self, distinct: list[str]) -> np.ndarray:
-        if len(self.place) > KEPT_WORDS:
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint16, int(lengths.sum())), lengths
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        if len(self.known) > KEPT_WORDS:
             self._forget()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((i for ids in encoded for i in ids), np.uint16, int(lengths.sum()))
-            starts = len(self.ids) + np.cumsum(lengths) - lengths
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.ids = np.concatenate((self.ids, flat))
-            self.starts = np.concatenate((self.starts, starts))
+        hashes = hashed(distinct)
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            flat, lengths = self._encoded(distinct.filter(pa.array(new)).to_pylist())
+            slot = np.concatenate((self.slot, len(self.lengths) + np.arange(len(lengths))))
+            known = np.concatenate((self.known, hashes[new]))
+            order = np.argsort(known, kind="stable")
+            self.known, self.slot = known[order], slot[order]
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
-        return np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
+            self.ids = np.concatenate((self.ids, flat))
+            at = np.searchsorted(self.known, hashes)
+        return self.slot[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         lines = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         codes, counts, distinct = split(lines)
-        place = self._places(distinct.to_pylist())[codes]
+        place = self._places(distinct)[codes]
         lengths = self.lengths[place]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
