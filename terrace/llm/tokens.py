@@ -3,7 +3,9 @@
 The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words
 are split at spaces and line feeds only (other white space stays inside a "word" and is left to the tokenizer),
 each distinct word is encoded once, and its ids are kept by the word's 64-bit hash for the next batches, in a
-bounded store.
+bounded store. The tokenizer lowers letters and parts them from marks anyway; doing so ahead leaves fewer distinct
+words. Texts beside one of its special strings, and those for a
+tokenizer that does neither, are left as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from terrace.llm.words import hashed, split
+from terrace.llm.words import LOWERED, hashed, split, translated
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words whose ids a process keeps; beyond, it starts anew.
@@ -27,6 +29,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Strings that the tokenizer looks for ahead of everything else, in their exact case.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = self.tokenizer.pre_tokenizer.pre_tokenize_str("a.") if self.tokenizer.pre_tokenizer else []
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and normalizer.normalize_str("A") == "a" and len(marks) == 2
         self._forget()
 
     def _forget(self) -> None:
@@ -64,7 +71,11 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        lines = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        lines = translated(texts, LOWERED)
+        if not self.folds or any(pc.any(pc.match_substring(lines, word)).as_py() for word in self.special):
+            lines = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        else:
+            lines = pc.replace_substring_regex(lines, r"([a-z])([.,;:!?])", r"\1 \2")
         codes, counts, distinct = split(lines)
         place = self._places(distinct)[codes]
         lengths = self.lengths[place]

@@ -22,7 +22,9 @@ def _table(separators) -> bytes:
 
 #: A-Z lowered; tab to carriage return become spaces. Words are then what spaces separate.
 WHITE = _table(range(9, 14))
-#: The same, but line feeds stay.
+#: A-Z lowered, line feeds become spaces.
+LOWERED = _table([10])
+#: As WHITE, but line feeds stay.
 WHITE_IN_LINES = _table([9, 11, 12, 13])
 #: A-Z lowered; every other ASCII byte that is neither digit nor letter becomes a space.
 ALNUM = _table([*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)])
