@@ -242,6 +242,11 @@ def test_line_dedup(sample):
         assert kept.get(i, "") == "\n".join(left)
 
 
+def test_lines_meet_in_small_blocks_as_well(sample):
+    small = line_dedup.line_dedup(sample["docs"], how=line_dedup.Similarity(block=4)).collect()
+    assert sorted(small) == sorted(line_dedup.line_dedup(sample["docs"]).collect()) and any(r["n_links"] for r in small)
+
+
 def test_near_duplicates(sample):
     sets = {}
     for i, t in sample["texts"].items():
