@@ -1,7 +1,8 @@
 """Exact set-similarity join of lines; of every two similar lines the later one is removed.
 
-A line's set is its distinct words (A-Z lowered). Sets of fewer than ``min_tokens`` words are left alone: they
-agree by chance. Two lines are similar if the Jaccard similarity of their sets is at least ``percent``.
+A line's set is its distinct words (A-Z lowered); a line without a word has none and is left alone. Two lines are
+similar if the Jaccard similarity of their sets is at least ``percent``. A set so small that only an equal one is
+similar (at 80 up to three words) needs no pairs: it is a class by its fingerprint and stays out of steps 1 to 5.
 
 1. Token rarity: how many lines hold a token, counted over all lines in a table of fixed size (2**22 cells by
    token hash, so that what is broadcast never grows; tokens that share a cell share its count, which only makes the
@@ -38,9 +39,14 @@ PAGE_BITS = 12
 @dataclass(frozen=True)
 class Similarity:
     percent: int = 80
-    min_tokens: int = 5
+    min_tokens: int = 1  #: a line of fewer distinct words is never removed
     block: int = 2048
 
+    @property
+    def joined_from(self) -> int:
+        """Words of the smallest set that another set can be similar to: n / (n + 1) reaches the threshold."""
+        return max(self.min_tokens, -(-self.percent // (100 - self.percent)) if self.percent < 100 else 2**31)
+
 
 @dataclass
 class Lines:
@@ -113,12 +119,12 @@ def cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
-    """How many lines hold the tokens of each cell, as a power of two in eighths (0: none, 1: one line)."""
+    """How many lines that take part in the join hold the tokens of each cell, as a power of two in eighths (0: none, 1: one line)."""
 
     def count(batches):
         held = np.zeros(1 << CELL_BITS, np.int64)
         for batch in slices(batches, "_text"):
-            held += np.bincount(cells(lines_of(batch.column("_text"), how.min_tokens).tokens), minlength=len(held))
+            held += np.bincount(cells(lines_of(batch.column("_text"), how.joined_from).tokens), minlength=len(held))
         for page in range(1 << (CELL_BITS - PAGE_BITS)):
             part = held[page << PAGE_BITS : (page + 1) << PAGE_BITS]
             at = np.nonzero(part)[0]
@@ -150,6 +156,7 @@ def prefixes(lines: Lines, level: np.ndarray, how: Similarity) -> tuple[np.ndarr
     rank = level[cells(lines.tokens)]
     place = np.arange(len(rank)) - np.repeat(lines.ends - lines.size, lines.size)
     length = lines.size - -(-how.percent * lines.size // 100) + 1
+    length = np.where(lines.size < how.joined_from, 0, length)
     kept = (place < np.repeat(length, lines.size)) & (rank > 1)
     line = np.repeat(np.arange(len(lines.size)), lines.size)[kept]
     often = rank[kept] >= min(255, int(8 * np.log2(how.block)))
@@ -419,7 +426,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Si
     """``key``, n_lines (all lines, blank ones too), n_removed, removed_lines (numbers from 0), n_links (links of
     the document's lines to classes of other sets) of every row.
 
-    Null text has no lines; an empty one has one blank line. Short lines are never removed. Rows that repeat both key
+    Null text has no lines; an empty one has one blank line. Lines without a word are never removed. Rows that repeat both key
     and text are one document and report the same; rows that repeat a key with other text are documents of their own,
     whose lines tie by number. Null keys order first. An empty table gives an empty result; other columns are ignored.
     """

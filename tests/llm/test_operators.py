@@ -242,6 +242,27 @@ def test_line_dedup(sample):
         assert kept.get(i, "") == "\n".join(left)
 
 
+def test_short_lines_are_compared_too(spark):
+    """Copies and near copies of lines of any length, against brute force over every line with a word."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("aeiostrn"), 4)) for _ in range(9)]
+    texts = {i: "\n".join(" ".join(rng.choice(vocabulary, rng.integers(0, 7))) for _ in range(6)) for i in range(60)}
+    texts |= {60: "All rights reserved.\nx\n日本語日本語", 61: "日本語日本語\n\nall RIGHTS reserved.", 62: "ha " * 300, 63: "Ha"}
+    order = [(i, k, frozenset(white_words(lowered(l)))) for i, t in texts.items() for k, l in enumerate(t.split("\n"))]
+    order = [x for x in order if x[2]]
+    for percent in (80, 60):
+        gone, links = collections.defaultdict(set), collections.Counter()
+        for at, (i, k, s) in enumerate(order):
+            similar = [(p, u) for p, (_, _, u) in enumerate(order) if 100 * len(s & u) >= percent * len(s | u)]
+            if any(p < at for p, _ in similar):
+                gone[i].add(k)
+            links[i] += len({u for _, u in similar if u != s})
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        rows = line_dedup.line_dedup(docs, how=line_dedup.Similarity(percent=percent)).collect()
+        assert {r[0]: (set(r["removed_lines"]), r["n_links"]) for r in rows} == {i: (gone[i], links[i]) for i in texts}
+        assert gone[61] == {0, 2} and gone[63] == {0}
+
+
 def test_lines_meet_in_small_blocks_as_well(sample):
     small = line_dedup.line_dedup(sample["docs"], how=line_dedup.Similarity(block=4)).collect()
     assert sorted(small) == sorted(line_dedup.line_dedup(sample["docs"]).collect()) and any(r["n_links"] for r in small)
