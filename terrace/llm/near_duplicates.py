@@ -128,17 +128,18 @@ def _signed(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
+                    batch.column("_hash"),
                     pa.array(n),
                     pa.array(class_of(sets, n)),
                     pa.ListArray.from_arrays(offsets, bands),
                     pa.array([row.tobytes() for row in low], pa.binary()),
                     pa.array(short, pa.binary()),
                 ],
-                names=[key, "n", "cid", "bands", "sig", "short"],
+                names=[key, "hash", "n", "cid", "bands", "sig", "short"],
             )
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, n bigint, cid bigint, bands array<bigint>, sig binary, short binary"
-    return map_arrow(docs.select(key, F.col(text).alias("_text")), sign, schema)
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, hash bigint, n bigint, cid bigint, bands array<bigint>, sig binary, short binary"
+    return map_arrow(docs.select(key, F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")), sign, schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, key: str, how: Settings) -> DataFrame:
@@ -151,9 +152,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, key: str, how: Setti
             held = pa.ListArray.from_arrays(offsets, pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(class_of(sets, n)), batch.column("want"), held], names=["cid", "want", "set"])
 
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(
-        wanted.select(F.col("first").alias("_id"), F.col("cid").alias("want")), "_id"
-    )
+    body = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    named = wanted.select(F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), F.col("cid").alias("want"))
+    rows = body.join(named, F.col("_id").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")))
     read_back = map_arrow(rows.select("want", "_text"), read, "cid bigint, want bigint, set array<bigint>")
     return read_back.where("cid = want").dropDuplicates(["cid"]).select("cid", "set")
 
@@ -280,18 +281,12 @@ def _second_round(members: DataFrame, reps: DataFrame, how: Settings) -> DataFra
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Settings = Settings()) -> DataFrame:
-    """``key``, n_shingles, component_id (the least key reachable over links, the row's own included), kept (key is
-    that least key) of every row.
-
-    Null and empty texts have no shingles, link with nothing and are kept. Repeated rows report the same
-    component and are kept or not together; a key that repeats with other text stands for each of its texts.
-    A null key takes part in links, is never a component's name where another key is, and is kept where it stands alone.
-    An empty table gives an empty result; other columns are ignored.
-    """
+def _judged(docs: DataFrame, key: str, text: str, how: Settings) -> DataFrame:
+    """``key``, hash (of the text), n, component_id, kept of every row."""
     signed = stored(_signed(docs, key, text, how), "near-signatures")
     full = signed.where("n > 0")
-    classes = full.groupBy("cid").agg(F.min(key).alias("first"))
+    place = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), "hash")
+    classes = full.groupBy("cid").agg(F.min(place).alias("first"))
     reps = stored(full.select("cid", "n", "bands", "sig", "short").dropDuplicates(["cid"]), "near-classes")
     buckets = reps.select("cid", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -310,19 +305,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     grouped = stored(grouped.select("cid", "first", F.coalesce("root", "cid").alias("root")), "near-grouped")
     several = roots.select("root").distinct()
     least = grouped.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    named = grouped.join(least, "root", "left").select("cid", F.coalesce("least", "first").alias("component_id"))
-    result = signed.select(key, "n", "cid").join(named, "cid", "left")
-    component = F.coalesce("component_id", key)
+    named = grouped.join(least, "root", "left").select("cid", F.coalesce("least", "first").alias("least"))
+    result = signed.select(key, "hash", "n", "cid").join(named, "cid", "left")
+    own = F.col(key).eqNullSafe(F.col("least.key")) & (F.col("hash") == F.col("least.hash"))
     return result.select(
-        key,
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col(key) == component, component.isNull()).alias("kept"),
+        key, "hash", "n", F.coalesce("least.key", key).alias("component_id"), F.coalesce((F.col("n") == 0) | own, F.lit(False)).alias("kept")
     )
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Settings = Settings()) -> DataFrame:
+    """``key``, n_shingles, component_id (the least key reachable over links, the row's own included), kept (the row
+    has that least key and, where several texts of the component have it, the first text by hash) of every row.
+
+    Null and empty texts have no shingles, link with nothing and are kept. Rows that repeat both key and text report
+    the same component and are kept or not together; a key that repeats with other text stands for each of its texts.
+    A null key takes part in links and is never a component's name where another key is; of a component of null
+    keys only, one text is kept. An empty table gives an empty result; other columns are ignored.
+    """
+    judged = _judged(docs, key, text, how)
+    return judged.select(key, F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Settings = Settings()) -> DataFrame:
-    """One document of each component: the rows of ``docs`` whose key is kept. Rows that repeat a
-    kept key stay with it."""
-    judged = near_duplicates(docs, key, text, how).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(judged, docs[key].eqNullSafe(judged["_kept"]), "left_semi")
+    """One document of each component, and every row without a shingle. Of rows that repeat a kept key with the
+    same text one stays, whatever their other columns hold."""
+    judged = _judged(docs, key, text, how).where("kept")
+    places = judged.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(
+        ((F.count("*") > 1) & (F.max("n") > 0)).alias("_repeats")
+    )
+    places = stored(places, "near-kept")
+    body = docs.withColumn("_own", F.xxhash64(text))
+
+    def held(some: DataFrame) -> DataFrame:
+        return body.join(some, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
+
+    once = held(places.where("_repeats")).dropDuplicates([key, "_own"])
+    return held(places.where("not _repeats")).unionByName(once).select(*docs.columns)

@@ -285,6 +285,29 @@ def test_near_duplicates(sample):
     }
 
 
+def test_near_duplicates_under_null_and_repeated_keys(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 10**6, 300)) for _ in range(6)]
+    edited = [t.replace(t.split()[150], f"changed{k}") for k, t in enumerate(texts)]
+    rows = [
+        (1, texts[0]), (None, edited[0]), (None, texts[0]),  # copies of a named document
+        (None, texts[1]), (None, edited[1]), (None, texts[1]),  # no one has a name
+        (4, texts[2]), (4, texts[3]), (3, edited[3]),  # an id with two texts, one of them a copy
+        (5, texts[4]), (5, edited[4]), (5, texts[4]), (None, None), (None, ""), (None, texts[5]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == sorted(
+        [("1", "1"), ("3", "3"), ("4", "3"), ("4", "4"), *[("5", "5")] * 3, *[("None", "1")] * 2, *[("None", "None")] * 6]
+    )
+    left = [(r["doc_id"], r["text"]) for r in near_duplicates.kept_documents(docs).collect()]
+    unnamed = [x for x in left if x[1] in (texts[1], edited[1])]
+    repeated = [x for x in left if x[0] == 5]
+    assert len(unnamed) == 1 and len(repeated) == 1
+    rest = [x for x in left if x not in unnamed and x not in repeated]
+    assert sorted(rest, key=str) == sorted([(1, texts[0]), (4, texts[2]), (3, edited[3]), (None, None), (None, ""), (None, texts[5])], key=str)
+
+
 def test_second_round_finds_a_chain(spark):
     """A chain in which no member is like all others: every link must be found, wherever the centres fall."""
     base = [f"w{i}" for i in range(200)]
