@@ -5,11 +5,12 @@ are; a file counts only if a finished task named it, so a lost executor leaves n
 equal payloads (by SHA-1) are stored once: the one with the largest page id is a response, the others are
 revisits that name it.
 
-Index: captures are range-sorted by (reversed-host URL key, page id) into parts. A part is one file of compressed
+Index: captures are range-sorted by (reversed-host URL key, page id, payload SHA-1) into parts; captures that share all
+three hold the same payload and the same kind of record. A part is one file of compressed
 blocks of ``BLOCK`` sorted lines, and a sparse directory with the first key and the byte range of each block.
 A lookup finds its part among the parts' first keys, its block by binary search in that part's directory, and reads
 one byte range of the index and one of the archive. There is a bounded number of parts, so what a task opens
-(a directory, a block) is small too. Where one URL fills many parts, page ids split it.
+(a directory, a block) is small too. Where one URL fills many parts, page ids and payloads split it.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ class Reader:
 
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html",
                    least_bytes: int = 0) -> DataFrame:
-    """Write every page's record; (page, key, file, offset, length) of each, stored. Null html is an empty payload;
+    """Write every page's record; (page, key, sha, file, offset, length) of each, stored. Null html is an empty payload;
     payloads of fewer than ``least_bytes`` are always responses."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), body.alias("payload"))
@@ -152,37 +153,37 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
             places = []
             for number, address, payload, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                places.append((number, url_key(address), *out.add(record(number, address, payload, digest, refers_to))))
-            kinds = (batch.schema.field("page").type, pa.string(), pa.string(), pa.int64(), pa.int64())
+                places.append((number, url_key(address), sha, *out.add(record(number, address, payload, digest, refers_to))))
+            kinds = (batch.schema.field("page").type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(zip(*places), kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page", "key", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["page", "key", "sha", "file", "offset", "length"])
         out.close()
 
-    schema = f"page {dict(pages.dtypes)[page]}, key string, file string, offset bigint, length bigint"
+    schema = f"page {dict(pages.dtypes)[page]}, key string, sha string, file string, offset bigint, length bigint"
     return stored(map_arrow(told, write, schema), "warc-captures")
 
 
 @dataclass(frozen=True)
 class Index:
-    """Where the parts are: their first (key, page), and the file, offset and length of each part's directory."""
+    """Where the parts are: their first (key, page, sha), and the file, offset and length of each part's directory."""
 
     folder: str
-    bounds: list[tuple[str, int]]
+    bounds: list[tuple[str, int, str]]
     directories: dict[int, tuple[str, int, int]]
 
-    def part_of(self, key: str, page: int) -> int:
-        return bisect.bisect_right(self.bounds, (key, page))
+    def part_of(self, key: str, page: int | None, sha: str) -> int:
+        return bisect.bisect_right(self.bounds, (key, -1 if page is None else page, sha))
 
 
-def cuts(captures: DataFrame) -> list[tuple[str, int]]:
-    """First (key, page) of all parts but the first, as quantiles of a random sample of bounded size. They only
+def cuts(captures: DataFrame) -> list[tuple[str, int, str]]:
+    """First (key, page, sha) of all parts but the first, as quantiles of a random sample of bounded size. They only
     balance the parts; every capture is placed by them, whatever the sample."""
     rows = captures.count()
     parts = min(MAX_PARTS, -(-rows // PART))
     if parts < 2:
         return []
-    sample = captures.sample(min(1.0, 100 * parts / rows), seed=7).select("key", F.coalesce("page", F.lit(-1)).alias("page"))
-    found = sorted((r["key"], r["page"]) for r in sample.collect())
+    sample = captures.sample(min(1.0, 100 * parts / rows), seed=7).select("key", F.coalesce("page", F.lit(-1)).alias("page"), "sha")
+    found = sorted((r["key"], r["page"], r["sha"]) for r in sample.collect())
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
@@ -192,14 +193,14 @@ def write_index(captures: DataFrame, folder: str) -> Index:
 
     def place(batches):
         for batch in batches:
-            pairs = zip(batch.column("key").to_pylist(), batch.column("page").to_pylist())
-            part = pa.array([empty.part_of(k, -1 if p is None else p) for k, p in pairs], pa.int32())
+            captured = zip(*(batch.column(c).to_pylist() for c in ("key", "page", "sha")))
+            part = pa.array([empty.part_of(*c) for c in captured], pa.int32())
             yield pa.RecordBatch.from_arrays([part, *batch.columns], names=["part", *batch.schema.names])
 
     kind = dict(captures.dtypes)["page"]
-    schema = f"part int, page {kind}, key string, file string, offset bigint, length bigint"
+    schema = f"part int, page {kind}, key string, sha string, file string, offset bigint, length bigint"
     dealt = map_arrow(captures, place, schema).repartitionById(len(bounds) + 1, F.col("part"))
-    rows = dealt.sortWithinPartitions("part", "key", "page")
+    rows = dealt.sortWithinPartitions("part", "key", F.coalesce("page", F.lit(-1)), "sha")
 
     def write(batches):
         out, directory, held, at, finished = Writer(folder, ".cdx.gz"), [], [], None, []
@@ -207,7 +208,7 @@ def write_index(captures: DataFrame, folder: str) -> Index:
         def close_block():
             if held:
                 lines = "\n".join(json.dumps(x, separators=(",", ":")) for x in held)
-                directory.append([*held[0][:2], *out.add(zlib.compress(lines.encode()))])
+                directory.append([*held[0][:3], *out.add(zlib.compress(lines.encode()))])
                 held.clear()
 
         def close_part():
@@ -217,13 +218,13 @@ def write_index(captures: DataFrame, folder: str) -> Index:
                 directory.clear()
 
         for batch in batches:
-            for part, page, key, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, page, key, sha, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != at:
                     close_part()
                     at = part
                 if len(held) == BLOCK:
                     close_block()
-                held.append((key, -1 if page is None else page, file, offset, length))
+                held.append((key, -1 if page is None else page, sha, file, offset, length))
         close_part()
         out.close()
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
@@ -235,42 +236,42 @@ def write_index(captures: DataFrame, folder: str) -> Index:
 
 
 def lookup(wanted: DataFrame, index: Index, archives: str) -> DataFrame:
-    """Records of the wanted (url, page) captures, read back: page_id, payload_bytes, payload_digest, record_type,
+    """Records of the wanted (url, page, sha) captures, read back: page_id, payload_bytes, payload_digest, record_type,
     refers_to. A capture that the index does not have gives no row."""
     shared = wanted.sparkSession.sparkContext.broadcast(index)
 
     def keyed(batches):
         for batch in batches:
             keys = [url_key(u) for u in batch.column("url").to_pylist()]
-            pages = batch.column("page").to_pylist()
-            part = [shared.value.part_of(k, -1 if p is None else p) for k, p in zip(keys, pages)]
-            arrays = [pa.array(part, pa.int32()), pa.array(keys, pa.string()), batch.column("page")]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "key", "page"])
+            captured = zip(keys, batch.column("page").to_pylist(), batch.column("sha").to_pylist())
+            part = [shared.value.part_of(*c) for c in captured]
+            arrays = [pa.array(part, pa.int32()), pa.array(keys, pa.string()), batch.column("page"), batch.column("sha")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "key", "page", "sha"])
 
     kind = dict(wanted.dtypes)["page"]
-    asked = map_arrow(wanted.select("url", "page"), keyed, f"part int, key string, page {kind}")
-    rows = asked.repartitionById(len(index.bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "page")
+    asked = map_arrow(wanted.select("url", "page", "sha"), keyed, f"part int, key string, page {kind}, sha string")
+    rows = asked.repartitionById(len(index.bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "page", "sha")
 
     def read(batches):
         cdx, warc = Reader(index.folder), Reader(archives)
         at, directory, block_at, block = None, [], None, []
         for batch in batches:
             out = []
-            for part, key, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, key, page, sha in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != at:
                     place = shared.value.directories.get(part)
                     directory = json.loads(zlib.decompress(cdx.range(*place))) if place else []
                     at, block_at = part, None
-                me = [key, -1 if page is None else page]
-                k = bisect.bisect_right(directory, me, key=lambda x: x[:2]) - 1
+                me = [key, -1 if page is None else page, sha]
+                k = bisect.bisect_right(directory, me, key=lambda x: x[:3]) - 1
                 if k < 0:
                     continue
                 if k != block_at:
-                    lines = zlib.decompress(cdx.range(*directory[k][2:])).decode().split("\n")
+                    lines = zlib.decompress(cdx.range(*directory[k][3:])).decode().split("\n")
                     block, block_at = [json.loads(x) for x in lines], k
-                i = bisect.bisect_left(block, me, key=lambda x: x[:2])
-                if i < len(block) and block[i][:2] == me:
-                    out.append((page, *described(warc.range(*block[i][2:]))))
+                i = bisect.bisect_left(block, me, key=lambda x: x[:3])
+                if i < len(block) and block[i][:3] == me:
+                    out.append((page, *described(warc.range(*block[i][3:]))))
             columns = zip(*out) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -294,11 +295,11 @@ def described(member: bytes) -> tuple[int, str, str, int | None]:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write every page, index the archives, look every page up and read its record back.
 
-    Null html is an empty payload; a null url has a key of its own. Rows with a null page_id are written, and are
-    found again by their url as long as no two of them share it; repeated (url, page_id) rows come back once for each
-    row, with what the first of them holds. An empty table gives an empty result; other columns are ignored.
+    Null html is an empty payload; a null url has a key of its own. Every row comes back once with its own payload,
+    also under a null or repeated (url, page_id). An empty table gives an empty result; other columns are ignored.
     """
     archives, index = (shared_folder(pages.sparkSession, p) for p in ("warc-archives", "warc-index"))
     captures = write_archives(pages, archives)
-    wanted = pages.select("url", F.col("page_id").alias("page"))
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    wanted = pages.select("url", F.col("page_id").alias("page"), sha.alias("sha"))
     return lookup(wanted, write_index(captures, index), archives)

@@ -363,6 +363,25 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(empty).collect() == []
 
 
+def test_warc_returns_each_row_under_null_and_repeated_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 7)
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    url = "https://a.example/x"
+    pages = [(None, url, f"<p>{'n' * k}</p>") for k in range(12)] + [(None, None, "u" * k) for k in range(1, 6)]
+    pages += [(7, url, f"<p>{'r' * k}</p>") for k in range(5)] + [(7, url, "<p></p>"), (-1, url, "<p>nn</p>"), (9, None, None)]
+    rows = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    last = collections.defaultdict(list)
+    for i, _, html in pages:
+        last[html or ""] += [] if i is None else [i]
+    expected = []
+    for i, _, html in pages:
+        body, winner = (html or "").encode(), max(last[html or ""], default=None)
+        digest = __import__("base64").b32encode(hashlib.sha1(body).digest()).decode()
+        first = winner in (None, i) or (winner == -1 and i is None)
+        expected.append((i, len(body), digest, *(("response", None) if first else ("revisit", winner))))
+    assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.co.uk/a?b=1") == "uk,co,example)/a?b=1"
     assert warc.url_key(None) == ")/"
