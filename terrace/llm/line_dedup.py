@@ -407,7 +407,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", how:
 
 def removals(found: Found, key: str = "doc_id") -> DataFrame:
     """key, doc_hash, removed (line numbers), n_links for every document that has a removed or a linked line. A
-    line goes if a similar line stands earlier, in order of (key, line), whether or not that line goes too."""
+    line goes if a similar line stands earlier, in order of (key, line, doc_hash), whether or not that line goes too."""
     first = found.classes.select(F.col("fp").alias("v"), F.col("first").alias("other"))
     earlier = found.links.join(first, "v").groupBy("u").agg(F.min("other").alias("other"), F.sum("n").alias("n"))
     classes = found.classes.join(earlier, found.classes["fp"] == earlier["u"], "left").where("copies > 1 or u is not null")
@@ -415,8 +415,7 @@ def removals(found: Found, key: str = "doc_id") -> DataFrame:
         F.col("fp"), F.least("first", F.coalesce("other", "first")).alias("earliest"), F.coalesce("n", F.lit(0)).alias("n")
     )
     rows = found.lines.join(earliest, "fp")
-    before = F.struct(F.col("earliest.key").alias("key"), F.col("earliest.line").alias("line"))
-    later = F.struct(F.col(key).alias("key"), "line") > before
+    later = F.struct(F.col(key).alias("key"), "line", "doc_hash") > F.col("earliest")
     return rows.groupBy(key, "doc_hash").agg(  # the lines of one document
         F.sort_array(F.collect_set(F.when(later, F.col("line")))).alias("removed"), F.sum("n").alias("n_links")
     )
@@ -428,7 +427,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Si
 
     Null text has no lines; an empty one has one blank line. Lines without a word are never removed. Rows that repeat both key
     and text are one document and report the same; rows that repeat a key with other text are documents of their own,
-    whose lines tie by number. Null keys order first. An empty table gives an empty result; other columns are ignored.
+    of whose lines with one number that of the least text hash is first. Null keys order first. An empty table gives an empty result; other columns are ignored.
     """
     gone = removals(similar_lines(docs, key, text, how), key).withColumnRenamed(key, "_key")
     rows = docs.select(F.col(key), F.xxhash64(text).alias("_hash"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))

@@ -285,6 +285,18 @@ def test_near_duplicates(sample):
     }
 
 
+def test_repeated_lines_under_null_and_repeated_keys(spark):
+    """The same first line in documents that share a key: of different texts one keeps it, wherever it stands."""
+    head = "one header line of seven words here"
+    rows = [(k, f"{head}\nbody {k} {n} alpha beta gamma {k}x{n}") for k in (None, 4) for n in range(4)]
+    for times in (1, 2):  # rows equal in key and text are one document, however often they stand there
+        docs = spark.createDataFrame(rows * times, "doc_id long, text string")
+        left = [r["doc_id"] for r in line_dedup.without_repeats(docs).collect() if head in r["text"].split("\n")]
+        assert left == [None] * times
+        removed = [r["removed_lines"] for r in line_dedup.line_dedup(docs).collect()]
+        assert sorted(removed) == [[]] * times + [[0]] * 7 * times
+
+
 def test_near_duplicates_under_null_and_repeated_keys(spark):
     rng = np.random.default_rng(11)
     texts = [" ".join(f"w{n}" for n in rng.integers(0, 10**6, 300)) for _ in range(6)]
