@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrace.llm import decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts, toxicity, warc
+from terrace.llm import (
+    decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_rules, sharding, token_counts, toxicity, warc,
+)
 from terrace.llm.shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +76,30 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("cleaned_text")
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of a document whose h = crc32(doc_id) is divisible by ten, the words from a on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, words).alias("_words"))
+    rows = rows.withColumn("_n", F.size("_words")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    rows = rows.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    a, p = F.col("_a"), F.col("_p")
+    place = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+    made = F.array_join(F.transform(place, lambda i: F.get("_words", i)), " ")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), lines.alias("_lines"), "collapsed_text")
+    length, start, period = F.col("_best.length"), -F.col("_best.col2"), -F.col("_best.col3")
+    return rows.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("_lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )

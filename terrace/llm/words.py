@@ -13,15 +13,17 @@ _LOWER = bytes(range(97, 123))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _table(separators) -> bytes:
-    lowered = bytearray(bytes.maketrans(_UPPER, _LOWER))
+def _table(separators, lower: bool = True) -> bytes:
+    table = bytearray(bytes.maketrans(_UPPER, _LOWER) if lower else range(256))
     for byte in separators:
-        lowered[byte] = 32
-    return bytes(lowered)
+        table[byte] = 32
+    return bytes(table)
 
 
 #: A-Z lowered; tab to carriage return become spaces. Words are then what spaces separate.
 WHITE = _table(range(9, 14))
+#: As WHITE, but letters stay as they are.
+WHITE_AS_IS = _table(range(9, 14), lower=False)
 #: A-Z lowered, line feeds become spaces.
 LOWERED = _table([10])
 #: As WHITE, but line feeds stay.
