@@ -8,6 +8,10 @@ _WORDS2 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: crc32 of a decimal number, byte by byte.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ord(c) as bigint))),
+        lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))))"""
+
 ORACLES = {
     "op6_warc": rf"""
 with sized as (
@@ -55,5 +59,42 @@ select doc_id,
     sha256(coalesce(ids, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join hit_words using (doc_id) left join named using (doc_id)
+""",
+    "op13_prefix_trie": rf"""
+with own as (
+    select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as d,
+        md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as said,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+    from conversations where conv_id is not null
+),
+ids as (select conv_id, {_CRC} % 4 as h from (select distinct conv_id from own)),
+rebuilt as (
+    select ids.conv_id, 0 as part, d, said, words from ids join own on own.conv_id = ids.conv_id - ids.conv_id % 20 and d <= h
+    union all
+    select conv_id, 1, d, said, words from own join ids using (conv_id) where d > h
+),
+sequences as (
+    select ids.conv_id, coalesce(list(said order by part, d) filter (said is not null), []) as said,
+        coalesce(list(words order by part, d) filter (said is not null), []) as words
+    from ids left join rebuilt using (conv_id) group by ids.conv_id
+),
+prefixes as (
+    select conv_id, d, len(said) = d as ends, md5(array_to_string(said[:d], ' ')) as node, md5(array_to_string(said[:d - 1], ' ')) as above, words[d] as w
+    from sequences, unnest(range(0, len(said) + 1)) as u(d)
+),
+nodes as (
+    select d, node, min(above) as above, min(conv_id) as conv_id, count(*) as n, (count(*) - 1) * coalesce(min(w), 0) as saved,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+    from prefixes group by d, node
+),
+families as (select d - 1 as d, above as node, count(*) as children from nodes where d > 0 group by all),
+whole as (select nodes.*, coalesce(children, 0) as children from nodes left join families using (d, node)),
+ancestors as (
+    select p.d, p.node, sum(whole.saved) as saved, count(*) filter (whole.children = 0) as leaves
+    from whole join prefixes p on p.conv_id = whole.conv_id and p.d <= whole.d group by p.d, p.node
+)
+select n.conv_id, n.d as depth, up.conv_id as parent_conv_id, n.n as n_convs, n.children as n_children,
+    cast(a.leaves as bigint) as n_leaves, cast(a.saved as bigint) as saved_tokens, n.ends_sha256
+from whole n join ancestors a using (d, node) left join nodes up on up.d = n.d - 1 and up.node = n.above
 """,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import (
-    decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_rules, sharding, token_counts, toxicity, warc,
+    decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, prefix_trie, quality_rules, sharding, token_counts, toxicity, warc,
 )
 from terrace.llm.shared import shared_folder, table
 
@@ -103,3 +103,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join("_lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
     )
+
+
+def with_shared_heads(conversations: DataFrame) -> DataFrame:
+    """Digested conversations c, whose first h = crc32(c) % 4 turns are those of c - c % 20."""
+    own = prefix_trie.digested(conversations)
+    heads = own.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("_head"), F.slice("turns", 1, 3).alias("_turns"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    rows = own.join(heads, F.col("conv_id") - F.col("conv_id") % 20 == F.col("_head"), "left")
+    first = F.slice(F.coalesce("_turns", F.slice("turns", 1, 0)), F.lit(1), h)
+    return rows.select("conv_id", F.concat(first, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(with_shared_heads(table(spark, sf_dir, "conversations")))
