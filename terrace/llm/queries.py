@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import (
-    decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, prefix_trie, quality_rules, sharding, token_counts, toxicity, warc,
+    decontaminate, language_id, line_dedup, near_duplicates, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, sharding,
+    token_counts, toxicity, warc,
 )
 from terrace.llm.shared import shared_folder, table
 
@@ -78,6 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("cleaned_text")
 
 
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def made_periodic(docs: DataFrame) -> DataFrame:
     """doc_id and text; of a document whose h = crc32(doc_id) is divisible by ten, the words from a on repeat with period p."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
