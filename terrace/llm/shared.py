@@ -37,6 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores ahead until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of few files and few row groups is read by few tasks; heavy work on each row is then dealt
     over the cores. Asks Spark for a rebalance only, which never changes the rows."""

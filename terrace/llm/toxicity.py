@@ -1,19 +1,24 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary windows.
-
-A window is one word between pads. It is compressed behind a primer that both dictionaries hold, so that even
-a short window is compressed rather than stored; the gain is how many bytes the toxic dictionary saves over the
-ordinary one, relative to the window's length. Windows of three words, or unprimed ones, told the classes apart
-far worse (area under the curve 0.54 to 0.75 against 0.95 on held-out labels), because chance matches of common
-syllables outweigh one telling word.
-
-Fitting uses a bounded sample of labelled documents (``max_documents`` of each class, by a hash of the id).
-Three quarters of it give the windows that train the dictionaries: toxic ones in many toxic and hardly any ordinary
-documents, and the ordinary documents' commonest. The rest calibrates the gain threshold and a logistic curve
-over (any window beyond it, how many, how long the text is). Scoring reads whole texts, in one pass, unshuffled.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
+
+Both dictionaries share a base, which zstandard trains on ordinary windows. Besides, the toxic one has text pieces that recur
+in toxic documents in ever other surroundings, the ordinary one as much ordinary text. These stand ahead of the base (which is
+then searched first, so that common text is found there by both) or after it, whichever tells the classes better apart in
+calibration. A window of 64 bytes (some ten words) is compressed with each. What the toxic dictionary saves over the ordinary
+one tells, as the common syllables cost the same in both. A document's score is a logistic curve over its windows' savings: their sum, how many lie beyond
+calibrated thresholds, the largest.
+
+Fitting uses a bounded sample of labelled documents (``max_toxic``, ``max_ordinary``, by a hash of the id; of each the
+first ``max_bytes``). Three quarters of it give the dictionaries, the rest calibrates.
+
+1. Byte strings of ``piece`` bytes are counted once for each distinct surroundings, so that copies of a document,
+   or of a passage, count once. The log-likelihood ratio of toxic against ordinary counts says which are telling.
+2. Stretches of telling strings in toxic texts are the toxic pieces; the commonest are taken until every telling string is held.
+3. Scoring reads whole texts in one pass, unshuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,90 +28,112 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import crc32_of_id, map_arrow, slices
-from terrace.llm.words import ALNUM, unique, words
+from terrace.llm.shared import crc32_of_id, free_names, map_arrow, slices, stored
+from terrace.llm.words import ALNUM, mixed
 
 FOLDS = 5
-PAD = b"  "
-#: What every window is compressed between; both dictionaries end in it. zstandard looks for no match in the
-#: last bytes of its input, so the window must not be last.
-PRIMER = b"~0~1~2~3~4~5~6~7~8~9~A~B~C~D~E~F~G~H~I~J~K~L~M~N~O~P"
-CLOSE = b"~Q~R~S~T~U~V~W~X"
-#: Windows whose gains a process keeps; beyond, it starts anew.
-KEPT_WINDOWS = 300_000
+#: What a dictionary ends in whose last bytes are pieces: zstandard does not look for matches in the last ones.
+CLOSE = b"~~~~~~~~~~"
 
 
 @dataclass(frozen=True)
 class Fitting:
-    max_documents: int = 6_000  #: of each class, about
-    max_toxic_windows: int = 400
-    max_ordinary_windows: int = 20_000
-    min_documents: int = 3  #: a toxic window's toxic documents, at least, ...
-    min_share: float = 0.008  #: ... and their share of all toxic ones
-    min_odds: float = 12.0  #: how many times as common among toxic as among ordinary documents
-    toxic_bytes: int = 4_096
-    ordinary_bytes: int = 16_384
-    thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.65, 0.7, 0.75)
+    max_toxic: int = 2_000  #: documents of the sample, about
+    max_ordinary: int = 4_000
+    max_bytes: int = 20_000  #: of each
+    window: int = 64  #: bytes
+    stride: int = 32
+    piece: int = 6  #: bytes of the strings that are counted
+    around: int = 10  #: bytes on either side that make their surroundings ...
+    away: int = 24  #: ... and how far off they begin, so that a phrase is not its own surroundings
+    min_count: int = 6  #: surroundings of a telling string in toxic text, at least
+    min_odds: float = 8.0
+    min_ratio: float = 45.0  #: twice the log-likelihood ratio
+    max_strings: int = 20_000  #: telling strings, and stretches of them, that are looked at
+    longest: int = 40  #: bytes of a stretch
+    toxic_bytes: int = 8_192
+    base_bytes: int = 32_768
+    base_windows: int = 15_000
+    base_window: int = 200
+    beyond: tuple[int, ...] = (4, 6)  #: bytes saved in a window
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: float
     weights: tuple[float, ...]
+    how: Fitting
 
 
 def held_out(key: str = "doc_id") -> Column:
     return crc32_of_id(key) % FOLDS == 0
 
 
+def plain(texts: pa.Array) -> Iterator[bytes]:
+    """Each text's letters, digits and other-than-ASCII, lowered, one space for all else between and around."""
+    for text in texts.cast(pa.binary()).to_pylist():
+        yield b" " + b" ".join((text or b"").translate(ALNUM).split()) + b" "
+
+
+def strings(text: bytes, how: Fitting) -> np.ndarray:
+    """The ``piece`` bytes from each place on, as numbers."""
+    held = np.frombuffer(text, np.uint8).astype(np.int64)
+    n = max(0, len(held) - how.piece + 1)
+    out = np.zeros(n, np.int64)
+    for k in range(how.piece):
+        out = out << 8 | held[k : k + n]
+    return out
+
+
+def surroundings(text: bytes, how: Fitting) -> np.ndarray:
+    """A hash of the bytes some way ahead of and after each place's string."""
+    pad = how.away + how.around
+    held = np.frombuffer(bytes(pad) + text + bytes(pad), np.uint8).astype(np.uint64)
+    n = max(0, len(text) - how.piece + 1)
+    out = np.zeros(n, np.uint64)
+    after = pad + how.piece + how.away
+    with np.errstate(over="ignore"):
+        for k in (*range(how.around), *range(after, after + how.around)):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + held[k : k + n] + np.uint64(1)
+    return mixed(out).view(np.int64)
+
+
 class Windows:
-    """Relative gains of windows, remembered."""
+    """What the toxic dictionary saves over the ordinary one in each window of a text."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
-        bare = PRIMER + PAD + PAD + CLOSE
-        self.bare = len(self.toxic.compress(bare)), len(self.ordinary.compress(bare))
-        self.gains: dict[str, float] = {}
+    def __init__(self, toxic: bytes, ordinary: bytes, how: Fitting):
+        self.toxic, self.ordinary, self.how = self._compressor(toxic), self._compressor(ordinary), how
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        content += b"\1" + CLOSE + b"\2" + PRIMER + b"\3"
-        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known = zstandard.ZstdCompressionDict(content or b"-", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         settings = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=16, search_log=6, min_match=6, target_length=64,
+            window_log=18, hash_log=16, chain_log=17, search_log=9, min_match=4, target_length=64,
             strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
         return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)
 
-    def of(self, distinct: list[str]) -> np.ndarray:
-        if len(self.gains) > KEPT_WINDOWS:
-            self.gains.clear()
-        gains, out = self.gains, np.empty(len(distinct))
-        for k, word in enumerate(distinct):
-            gain = gains.get(word)
-            if gain is None:
-                window = PAD + word.encode() + PAD
-                toxic = len(self.toxic.compress(PRIMER + window + CLOSE)) - self.bare[0]
-                gain = 0.0
-                if toxic < 0.65 * len(window):  # else the toxic dictionary cannot be far ahead of any other
-                    gain = (len(self.ordinary.compress(PRIMER + window + CLOSE)) - self.bare[1] - toxic) / len(window)
-                gains[word] = gain
-            out[k] = gain
-        return out
-
-    def counts(self, texts: pa.Array, thresholds) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of each text, and those beyond each threshold."""
-        codes, counts, distinct = words(texts, ALNUM)
-        gains = self.of(distinct.to_pylist())[codes]
-        row = np.repeat(np.arange(len(counts)), counts)
-        return counts, np.stack([np.bincount(row[gains >= t], minlength=len(counts)) for t in thresholds], 1)
-
-
-def features(n: np.ndarray, beyond: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(n)), beyond > 0, np.log1p(beyond), np.log1p(n) / 10], 1).astype(float)
+    def savings(self, text: bytes) -> np.ndarray:
+        toxic, ordinary, how = self.toxic.compress, self.ordinary.compress, self.how
+        if not text.strip():
+            return np.empty(0)
+        cut = [text[s : s + how.window] for s in range(0, max(1, len(text) - how.stride), how.stride)]
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in cut], float)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        out = []
+        for text in plain(texts):
+            saved = self.savings(text)
+            n = len(saved)
+            if not n:
+                out.append([1.0] + [0.0] * (4 + len(self.how.beyond)))
+                continue
+            over = [np.log1p((saved >= b).sum()) for b in self.how.beyond]
+            total, excess = np.clip(saved, 0, None).sum() / np.sqrt(n), np.sqrt(np.clip(saved - 1, 0, None).mean())
+            out.append([1.0, total, *over, excess, np.clip(saved.max(), -3, 12) / 5, np.log1p(n) / 10])
+        return np.array(out).reshape(-1, 5 + len(self.how.beyond))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
@@ -122,102 +149,133 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndar
     return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def trained(windows: list[tuple[str, int]], size: int, fill: bool) -> bytes:
-    """A dictionary of the windows, each as often as it is common. With ``fill``, or if there are too few to train
-    on, windows that the trainer left out fill what is unused of ``size``, the commonest last."""
-    padded = [(PAD + w.encode() + PAD, min(n, 40)) for w, n in windows]
-    try:
-        content = zstandard.train_dictionary(size, [w for w, n in padded for _ in range(n)], k=32, d=6).as_bytes()
-    except zstandard.ZstdError:
-        content = b""
-    if content and not fill:
-        return content
-    left_out = b"".join(w for w, _ in sorted(padded, key=lambda x: (x[1], x[0])) if w not in content)
-    room = size - len(content)
-    return (left_out[-room:] if room > 0 else b"") + content
-
-
 def fit(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting(), key: str = "doc_id", text: str = "text") -> Model:
     """Learn from the labelled documents outside the held-out fold. Without labels of both classes nothing is
-    learned, and every score is the same."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(key)).select(key, F.col("toxic").cast("int").alias("_toxic"))
-    usable = usable.groupBy(key).agg(F.max("_toxic").alias("_toxic"))  # a repeated label is one
-    sizes = {r["_toxic"]: r["count"] for r in usable.groupBy("_toxic").count().collect()}
+    learned, and every score is the same. A key that repeats gives one text, the least."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(key)).select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.groupBy("key").agg(F.max("toxic").alias("toxic"))  # a repeated label is one
+    sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return Model(b"", b"", 2.0, (-2.0, 0.0, 0.0, 0.0))
-    share = F.when(F.col("_toxic") == 1, how.max_documents / sizes[1]).otherwise(how.max_documents / sizes[0])
-    lot = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000
-    sample = docs.select(key, F.col(text).alias("_text")).join(usable.where(lot < share), key)
-    sample = sample.where(F.col("_text").isNotNull())
-    sample = sample.groupBy("_text").agg(F.max("_toxic").alias("_toxic"), F.min(key).alias(key))  # copies count once
-    sample = sample.withColumn("_calibrate", crc32_of_id(key) % 4 == 3).persist()
-    try:
-        return _fit(sample, how)
-    finally:
-        sample.unpersist()
+        return Model(b"", b"", (-2.0,), how)
+    share = F.when(F.col("toxic") == 1, how.max_toxic / sizes[1]).otherwise(how.max_ordinary / sizes[0])
+    lot = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1_000_000
+    drawn = stored(usable.where(lot < share), "toxicity-drawn")  # max_toxic + max_ordinary rows, about: small enough to send
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(drawn), "key").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.select("toxic", F.encode("text", "UTF-8").substr(1, how.max_bytes).alias("text"), (crc32_of_id("key") % 4 == 3).alias("calibrate"))
+    return _fit(stored(rows, "toxicity-sample"), how)
 
 
-def _fit(sample: DataFrame, how: Fitting) -> Model:
+def _telling(learn: DataFrame, how: Fitting) -> list[int]:
     def seen(batches):
-        for batch in slices(batches, "_text"):
-            codes, counts, distinct = words(batch.column("_text"), ALNUM)
-            row = np.repeat(np.arange(len(counts)), counts)
-            toxic = batch.column("_toxic").to_numpy()
-            pairs = unique(row * max(1, len(distinct)) + codes)
-            row, code = np.divmod(pairs, max(1, len(distinct)))
-            both = [np.bincount(code[toxic[row] == c], minlength=len(distinct)) for c in (1, 0)]
-            yield pa.RecordBatch.from_arrays(
-                [distinct.cast(pa.string()), pa.array(both[0]), pa.array(both[1])], names=["w", "t", "o"]
-            )
+        for batch in batches:
+            for toxic in (0, 1):
+                own = batch.filter(pa.array(batch.column("toxic").to_numpy() == toxic))
+                texts = list(plain(own.column("text")))
+                if not texts:
+                    continue
+                pairs = np.stack([np.concatenate([f(t, how) for t in texts]) for f in (strings, surroundings)], 1)
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                pairs = pairs[order]
+                fresh = np.ones(len(pairs), bool)
+                fresh[1:] = (pairs[1:] != pairs[:-1]).any(1)
+                pairs = pairs[fresh]
+                columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), toxic, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["string", "around", "toxic"])
+
+    rows = map_arrow(learn.select("text", "toxic"), seen, "string bigint, around bigint, toxic int").repartition("string")
+    counts = rows.distinct().groupBy("string").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    counts = stored(counts, "toxicity-counts")
+    whole = counts.agg(F.sum("t"), F.sum("o")).first()
+    n_toxic, n_ordinary = (float(x or 1) for x in whole)
+    t, o = F.col("t"), F.col("o")
+    odds = (t / n_toxic) / ((o + 0.5) / n_ordinary)
+    expected = (t + o) / (n_toxic + n_ordinary)
+    ratio = 2 * (t * F.log(t / (n_toxic * expected)) + F.when(o > 0, o * F.log(o / (n_ordinary * expected))).otherwise(0))
+    found = counts.where((t >= how.min_count) & (odds >= how.min_odds)).withColumn("ratio", ratio).where(F.col("ratio") >= how.min_ratio)
+    return [r["string"] for r in found.orderBy(F.desc("ratio"), "string").limit(how.max_strings).collect()]
+
+
+def _stretches(learn: DataFrame, telling: np.ndarray, how: Fitting) -> list[bytes]:
+    """Pieces of toxic text that consist of telling strings, the commonest first."""
+
+    def seen(batches):
+        for batch in batches:
+            out: list[bytes] = []
+            for text in plain(batch.column("text")):
+                held = strings(text, how)
+                if len(held):
+                    hit = telling[np.minimum(np.searchsorted(telling, held), len(telling) - 1)] == held
+                    edges = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+                    places = zip(np.nonzero(edges == 1)[0].tolist(), np.nonzero(edges == -1)[0].tolist())
+                    out += {text[s : min(e - 1 + how.piece, s + how.longest)] for s, e in places}
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["stretch"])
+
+    if not len(telling):
+        return []
+    found = map_arrow(learn.where("toxic = 1").select("text"), seen, "stretch binary").groupBy("stretch").count().where("count > 1")
+    return [bytes(r["stretch"]) for r in found.orderBy(F.desc("count"), "stretch").limit(how.max_strings).collect()]
 
-    learn = sample.where(~F.col("_calibrate"))
-    n = {r["_toxic"]: r["count"] for r in learn.groupBy("_toxic").count().collect()}
-    n_toxic, n_ordinary = n.get(1, 0), n.get(0, 0)
-    found = map_arrow(learn.select("_text", "_toxic"), seen, "w string, t bigint, o bigint")
-    found = found.where(F.length("w") <= 64).groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).persist()
-    odds = (F.col("t") / max(1, n_toxic)) / ((F.col("o") + 0.5) / max(1, n_ordinary))
-    telling = found.where((F.col("t") >= max(how.min_documents, how.min_share * n_toxic)) & (odds >= how.min_odds))
-    telling = telling.orderBy(F.desc("t"), "w").limit(how.max_toxic_windows).collect()
-    common = found.where("o > 1").orderBy(F.desc("o"), "w").limit(how.max_ordinary_windows).collect()
-    found.unpersist()
-    toxic = trained([(r["w"], r["t"]) for r in telling], how.toxic_bytes, fill=True)
-    ordinary = trained([(r["w"], r["o"]) for r in common], how.ordinary_bytes, fill=False)
+
+def _fit(sample: DataFrame, how: Fitting) -> Model:
+    learn = sample.where(~F.col("calibrate"))
+    telling = np.array(sorted(_telling(learn, how)), np.int64)
+    missing, pieces = set(telling.tolist()), b""
+    for stretch in _stretches(learn, telling, how):
+        own = missing.intersection(strings(stretch, how).tolist())
+        if own and len(pieces) + len(stretch) <= how.toxic_bytes:
+            pieces = stretch + pieces  # the commonest last, where they are cheapest to refer to
+            missing -= own
+
+    def cut(batches):
+        for batch in batches:
+            out = [t[s : s + how.base_window] for t in plain(batch.column("text")) for s in range(0, 10 * how.base_window, 2 * how.base_window) if t[s:].strip()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
+
+    windows = map_arrow(learn.where("toxic = 0").select("text"), cut, "w binary").distinct()
+    windows = [bytes(r["w"]) for r in windows.orderBy(F.xxhash64("w"), "w").limit(how.base_windows).collect()]
+    try:
+        base = zstandard.train_dictionary(how.base_bytes, windows, k=200, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little text to train on
+        base = b"".join(windows)[: how.base_bytes]
+    opposite = b"".join(windows)[: len(pieces)]
+    layouts = [(pieces + base, opposite + base), (base + pieces + CLOSE, base + opposite + CLOSE)]
 
     def measured(batches):
-        windows = Windows(toxic, ordinary)
-        for batch in slices(batches, "_text"):
-            n, beyond = windows.counts(batch.column("_text"), how.thresholds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_toxic"), pa.array(n), pa.array(beyond.tolist(), pa.list_(pa.int64()))], names=["y", "n", "b"]
-            )
+        compare = [Windows(*layout, how) for layout in layouts]
+        for batch in batches:
+            held = [pa.array(c.features(batch.column("text")).tolist(), pa.list_(pa.float64())) for c in compare]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *held], names=["y", "x0", "x1"])
 
-    held = sample.where("_calibrate").select("_text", "_toxic")
-    rows = map_arrow(held, measured, "y int, n bigint, b array<bigint>").collect()  # a bounded sample's counts
+    schema = "y int, x0 array<double>, x1 array<double>"
+    rows = map_arrow(sample.where("calibrate").select("text", "toxic"), measured, schema).collect()  # a part of the sample
     y = np.array([r["y"] for r in rows], float)
     if not 0 < y.sum() < len(y):
-        return Model(toxic, ordinary, how.thresholds[-1], (-3.0, 4.0, 2.0, 0.0))
-    n, beyond = np.array([r["n"] for r in rows]), np.array([r["b"] for r in rows])
-    tried = [(logistic(features(n, beyond[:, k]), y), t) for k, t in enumerate(how.thresholds)]
-    (weights, _), threshold = min(tried, key=lambda x: x[0][1])
-    return Model(toxic, ordinary, threshold, tuple(float(w) for w in weights))
+        return Model(*layouts[0], (-3.0, 0.5, 2.0, 2.0, 0.0, 0.0, 0.0), how)
+    tried = [(*logistic(np.array([r[f"x{k}"] for r in rows]), y), k) for k in (0, 1)]
+    weights, _, best = min(tried, key=lambda x: (x[1], x[2]))
+    return Model(*layouts[best], tuple(float(w) for w in weights), how)
 
 
 @lru_cache(maxsize=2)
-def windows_of(toxic: bytes, ordinary: bytes) -> Windows:
-    return Windows(toxic, ordinary)
+def windows_of(toxic: bytes, ordinary: bytes, how: Fitting) -> Windows:
+    return Windows(toxic, ordinary, how)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those to ``carry``) with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) from the text alone. Null and empty
-    texts have no windows and get the curve's value for none; repeated rows score alike; an empty table stays
-    empty. Columns named score or predicted are replaced."""
+    """``docs`` (all columns, or those to ``carry``) with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) from the text alone. Null, empty
+    and wordless texts have no windows and get the curve's value for none; very long texts are scored whole; repeated rows
+    score alike; an empty table stays empty. Columns named score or predicted are replaced."""
     own = [c for c in carry or docs.columns if c not in ("score", "predicted")]
+    (body,) = free_names(docs, "scored_text")
 
     def score(batches):
-        windows = windows_of(model.toxic, model.ordinary)
-        for batch in slices(batches, "_scored_text"):
-            n, beyond = windows.counts(batch.column("_scored_text"), [model.threshold])
-            z = features(n, beyond[:, 0]) @ np.array(model.weights)
+        compare, weights = windows_of(model.toxic, model.ordinary, model.how), np.array(model.weights)
+        for batch in slices(batches, body):
+            if len(weights) == 1:
+                z = np.full(batch.num_rows, weights[0])
+            else:
+                z = compare.features(batch.column(body)) @ weights
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             columns = [batch.column(c) for c in own]
             yield pa.RecordBatch.from_arrays(
@@ -226,11 +284,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str,
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in own) + "score double, predicted int"
-    return map_arrow(docs.select(*own, F.col(text).alias("_scored_text")), score, schema)
+    return map_arrow(docs.select(*own, F.col(text).alias(body)), score, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting(), key: str = "doc_id") -> DataFrame:
-    """``key``, held_out, score, predicted of every row of ``docs``."""
+    """``key``, held_out, score, predicted of every row of ``docs``. As :func:`scored`; a null key has no label and the fold of crc32 0."""
     model = fit(docs, labels, how, key)
     rows = docs.select(key, held_out(key).alias("held_out"), "text")
     return scored(rows, model, carry=(key, "held_out"))
