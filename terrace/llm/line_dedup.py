@@ -4,9 +4,9 @@ A line's set is its distinct words (A-Z lowered); a line without a word has none
 similar if the Jaccard similarity of their sets is at least ``percent``. A set so small that only an equal one is
 similar (at 80 up to three words) needs no pairs: it is a class by its fingerprint and stays out of steps 1 to 5.
 
-1. Token rarity: how many lines hold a token, counted over all lines in a table of fixed size (2**22 cells by
-   token hash, so that what is broadcast never grows; tokens that share a cell share its count, which only makes the
-   order a little less apt, never the result wrong).
+1. Token rarity: how often a token occurs, counted over all lines in a table of fixed size (2**22 cells by
+   token hash, so that what is broadcast never grows; tokens that share a cell share its count, and one that a line repeats
+   counts each time, which only makes the order a little less apt, never the result wrong).
 2. Each set's tokens are ordered by (rarity, hash). Similar sets share one of their first
    ``size - ceil(t * size) + 1`` tokens (prefix filter); a token that only one line holds is left out of it.
 3. Lines meet in the group of each prefix token. Equal sets are one class there. A group of more than ``block`` classes
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import map_arrow, slices, stored
-from terrace.llm.words import WHITE_IN_LINES, hashed, mixed, split, translated, unique
+from terrace.llm.words import WHITE, WHITE_IN_LINES, hashed, mixed, split, translated, unique, words
 
 #: Cells of the rarity table, and of one page of it.
 CELL_BITS = 22
@@ -119,12 +119,14 @@ def cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
-    """How many lines that take part in the join hold the tokens of each cell, as a power of two in eighths (0: none, 1: one line)."""
+    """How often the tokens of each cell occur, as a power of two in eighths (0: never, 1: once)."""
 
     def count(batches):
         held = np.zeros(1 << CELL_BITS, np.int64)
         for batch in slices(batches, "_text"):
-            held += np.bincount(cells(lines_of(batch.column("_text"), how.joined_from).tokens), minlength=len(held))
+            codes, _, distinct = words(batch.column("_text"), WHITE)
+            times = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(len(distinct))
+            held += np.bincount(cells(hashed(distinct)), times, len(held)).astype(np.int64)
         for page in range(1 << (CELL_BITS - PAGE_BITS)):
             part = held[page << PAGE_BITS : (page + 1) << PAGE_BITS]
             at = np.nonzero(part)[0]
