@@ -11,7 +11,9 @@ from terrace.lake import Lake, create_schemas
 from terrace.operators.clean import accepted, rejected, safe_names
 from terrace.operators.quality import enforce, file_counts, gate, reconcile
 from terrace.sinks.snapshot import SnapshotTable
-from terrace.sinks.tables import clustered, publish, read_batches, stage_gold, write_batch
+from terrace.plans.refresh import Gold
+from terrace.sinks import fs
+from terrace.sinks.tables import clustered, name_for_sql, publish, read_batches, stage_gold, write_batch
 from terrace.sources.files import RESCUED, headers_of, new_files, pin_columns, pinned_columns, read_with_rescue
 from terrace.spec import TableSpec
 from terrace.streaming.run import DRAIN, finish, per_batch
@@ -63,6 +65,22 @@ def quarantine_rows(spark: SparkSession, lake: Lake, spec: TableSpec = FLIGHTS,
     return read_batches(spark, quarantine_path(lake, feed), rejected(nothing, spec).schema)
 
 
+def name_layers(spark: SparkSession, lake: Lake, spec: TableSpec = FLIGHTS, feed: str = FEED) -> list[str]:
+    """SQL names for what bronze, silver and quarantine hold now: views over their folders. Returns the names."""
+    schema = bronze_schema(spark, lake, feed)
+    refused = rejected(spark.createDataFrame([], schema), spec).schema
+    target = silver_table(spark, lake, spec, feed)
+    named = {lake.table("bronze", f"{feed}_raw"): (bronze_path(lake, feed), schema)}
+    named[lake.table("silver", f"{feed}_quarantine")] = (quarantine_path(lake, feed), refused)
+    for name, (path, columns) in named.items():
+        held = any(c.startswith("batch_id=") for c in fs.children(spark, path))
+        name_for_sql(spark, name, [path] if held else [], columns)
+    if target.exists():
+        name_for_sql(spark, lake.table("silver", feed), target.folders(), target.schema())
+        return [*named, lake.table("silver", feed)]
+    return list(named)
+
+
 def run_bronze(
     spark: SparkSession, lake: Lake, feed: str = FEED, glob: str = "*.csv", files_per_batch: int = 10_000
 ) -> DataFrame:
@@ -138,7 +156,18 @@ def run_gold(spark: SparkSession, lake: Lake, silver: DataFrame | None = None, p
     return checks
 
 
-def run_batch(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
-    """Bronze, silver, gold in order; an exception in one stops those after it."""
+def refresh_gold(spark: SparkSession, lake: Lake) -> DataFrame:
+    """Gold maintained from what changed in silver since the last refresh. Returns the checks of the changed months."""
+    return Gold(spark, lake).refresh(silver_table(spark, lake))
+
+
+def run_batch(
+    spark: SparkSession, lake: Lake, incremental: bool = False, newer_wins: bool = False, files_per_batch: int = 10_000,
+    bytes_per_batch: str | None = None,
+) -> dict[str, DataFrame]:
+    """Bronze, silver, gold in order; an exception in one stops those after it. ``incremental``: maintain gold instead of rebuilding it."""
     create_schemas(spark, lake)
-    return {"bronze": run_bronze(spark, lake), "silver": run_silver(spark, lake), "gold": run_gold(spark, lake)}
+    reports = {"bronze": run_bronze(spark, lake, files_per_batch=files_per_batch)}
+    reports["silver"] = run_silver(spark, lake, newer_wins=newer_wins, bytes_per_batch=bytes_per_batch)
+    name_layers(spark, lake)
+    return reports | {"gold": refresh_gold(spark, lake) if incremental else run_gold(spark, lake)}

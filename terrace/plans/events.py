@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from terrace.lake import Lake, create_schemas
 from terrace.sinks.snapshot import SnapshotTable
+from terrace.sinks.tables import name_for_sql
 from terrace.sources.files import text_events
 from terrace.streaming.events import WINDOW_KEY, airport_delays, dedupe_events, parse_events
-from terrace.streaming.run import DRAIN, append_to_table, finish, upsert_into
+from terrace.streaming.run import DRAIN, append_to_table, finish, per_batch
 
 RAW = "flight_events_raw"
 EVENTS = "flight_events"
@@ -44,21 +45,28 @@ def refine_events(spark: SparkSession, lake: Lake, trigger: dict = DRAIN, spread
 def publish_windows(spark: SparkSession, lake: Lake, trigger: dict = DRAIN) -> StreamingQuery:
     """Hop 3: windows per airport, upserted whenever they change."""
     events = spark.readStream.table(lake.table("silver", EVENTS))
-    return upsert_into(
-        airport_delays(events), live_windows(spark, lake), lake.checkpoint("events", "gold"), trigger
-    )
+    target = live_windows(spark, lake)
+
+    def upsert_and_name(batch: DataFrame, batch_id: int, writer: str) -> None:
+        target.upsert(batch, batch_id, writer)
+        if target.exists():
+            name_for_sql(spark, lake.gold(WINDOWS), target.folders(), target.schema())
+
+    return per_batch(airport_delays(events), upsert_and_name, lake.checkpoint("events", "gold"), trigger, "update")
 
 
 def run_events(
-    spark: SparkSession, lake: Lake, source: DataFrame | None = None, trigger: dict = DRAIN, timeout: float | None = None
-) -> list[StreamingQuery]:
+    spark: SparkSession, lake: Lake, source: DataFrame | None = None, trigger: dict = DRAIN, timeout: float | None = None,
+    spread: int = 0, files_per_batch: int | None = None,
+) -> list[StreamingQuery]:
     """Run the hops. When draining, each ends before the next begins; otherwise all three keep running,
-    each with its own checkpoint, until stopped. The default source is the landing folder."""
+    each with its own checkpoint, until stopped. The default source is the landing folder, ``files_per_batch`` files at a time.
+    ``spread``: slices of the first pass that removes repeats of an event a source sends very often."""
     create_schemas(spark, lake)
-    source = text_events(spark, lake.landing("events")) if source is None else source
+    source = text_events(spark, lake.landing("events"), per_batch=files_per_batch) if source is None else source
     hops = (
         lambda: land_events(source, lake, trigger),
-        lambda: refine_events(spark, lake, trigger),
+        lambda: refine_events(spark, lake, trigger, spread),
         lambda: publish_windows(spark, lake, trigger),
     )
     return [finish(start(), trigger, timeout) for start in hops]

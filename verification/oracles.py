@@ -190,6 +190,14 @@ select o_orderkey, o_custkey, case when o_orderkey % 3 <> 1 then 'X' else o_orde
   case when o_orderkey % 3 <> 1 then o_totalprice + 1 else o_totalprice end as o_totalprice,
   cast(o_orderdate as date) as o_orderdate, o_orderpriority {extra} from orders"""
 
+# Silver after one month was corrected.
+CORRECTED = SILVER.replace(", silver as (", ", as_sent as (") + """
+, silver as (
+  select * exclude (corrected) replace (if(corrected, dep_delay_min + 7, dep_delay_min) as dep_delay_min,
+    if(corrected, 'CORRECTED', origin_city) as origin_city)
+  from (select *, strftime(flight_date, '%Y-%m') = '1995-03' as corrected from as_sent))
+"""
+
 ORACLES = {
     "sanitize_columns": """select l_orderkey as order_key, l_linenumber as line_number, l_quantity as quantity_units_,
         l_returnflag as return_flag from lineitem""",
@@ -283,4 +291,9 @@ ORACLES = {
     "upsert_snapshot": UPSERTED.format(extra=""),
     "upsert_newer_wins": UPSERTED.format(extra=", case when o_orderkey % 3 <> 1 then 2 else 1 end as arrived"),
     "clustered_write": f"{FACT} select * from fact",
+    "incremental_rollup": f"{AGG.replace(SILVER, CORRECTED)} select * from agg",
+    "incremental_dimensions": f"""{CORRECTED} {DIMENSIONS}
+select 'dim_airport' as dimension, airport_code as member, concat_ws('/', city, state) as shown from dim_airport
+union all select 'dim_carrier', carrier_code, carrier_name from dim_carrier
+union all select 'dim_date', cast(date_key as varchar), day_name from dim_date""",
 }

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from terrace.flights import dashboard, model, reports
 from terrace.flights.contract import FLIGHTS
 from terrace.functions import clock_text, utc_wall_clock
-from terrace.lake import materialize, scratch
+from terrace.lake import Lake, materialize, scratch
 from terrace.operators import quality
 from terrace.operators.clean import accepted, clean, conform, keep_latest, rejected, sanitize_columns
 from terrace.operators.star import with_role
 from terrace.plans.batch import FEED
+from terrace.plans.refresh import Gold
 from terrace.sinks.snapshot import SnapshotTable
 from terrace.sinks.tables import clustered, read_batches, write_batch
 from terrace.sources.files import headers_of, new_files, pin_columns, read_with_rescue, text_events
@@ -468,6 +469,41 @@ def upsert_newer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
+CORRECTED_MONTH = "1995-03"
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> Gold:
+    """Silver and gold of all flights, then one month corrected: gold is refreshed from the difference of the two versions."""
+    silver = materialize(_silver(spark, sf_dir), "silver")
+    root = scratch(spark, "refresh")
+    lake = Lake(root, prefix=f"refresh_{root[-8:]}_")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {lake.schema('gold')} LOCATION '{lake.path('gold')}'")
+    target, gold = SnapshotTable(spark, f"{root}/silver", FLIGHTS.key, ("flight_date", "month"), check_keys=False), Gold(spark, lake)
+    target.upsert(silver, 0)
+    gold.refresh(target)
+    month = silver.filter(F.date_format("flight_date", "yyyy-MM") == CORRECTED_MONTH)
+    target.upsert(month.withColumns({"dep_delay_min": F.col("dep_delay_min") + 7, "origin_city": F.lit("CORRECTED")}), 1)
+    gold.refresh(target)
+    return gold
+
+
+@query
+def incremental_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.table(_refreshed(spark, sf_dir).lake.gold("agg_daily_route"))
+
+
+@query
+def incremental_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = _refreshed(spark, sf_dir)
+    parts = {"dim_airport": "airport_code", "dim_carrier": "carrier_code", "dim_date": "date_key"}
+    shown = {"dim_airport": F.concat_ws("/", "city", "state"), "dim_carrier": F.col("carrier_name"), "dim_date": F.col("day_name")}
+    found = [
+        spark.table(gold.lake.gold(n)).select(F.lit(n).alias("dimension"), F.col(key).cast("string").alias("member"), shown[n].alias("shown"))
+        for n, key in parts.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def clustered_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact in its clustered layout, read back."""
