@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
@@ -14,7 +16,7 @@ from terrace.sinks.snapshot import SnapshotTable
 from terrace.plans.refresh import Gold
 from terrace.sinks import fs
 from terrace.sinks.tables import clustered, name_for_sql, publish, read_batches, stage_gold, write_batch
-from terrace.sources.files import RESCUED, headers_of, new_files, pin_columns, pinned_columns, read_with_rescue
+from terrace.sources.files import RESCUED, headers_of, listed_headers, new_files, pin_columns, pinned_columns, read_with_rescue
 from terrace.spec import TableSpec
 from terrace.streaming.run import DRAIN, finish, per_batch
 
@@ -82,18 +84,25 @@ def name_layers(spark: SparkSession, lake: Lake, spec: TableSpec = FLIGHTS, feed
 
 
 def run_bronze(
-    spark: SparkSession, lake: Lake, feed: str = FEED, glob: str = "*.csv", files_per_batch: int = 10_000
-) -> DataFrame:
+    spark: SparkSession, lake: Lake, feed: str = FEED, glob: str = "*.csv", files_per_batch: int = 10_000,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """Ingest files not seen before, as text, with lineage. Returns rows per source file.
 
+    The first run fixes the columns: those given, or those of all files that lie there then, whatever the batches.
     Only paths and header lines pass through the driver, ``files_per_batch`` of them at a time.
     """
+    store = column_store(lake, feed)
+    if pinned_columns(spark, store) is None and fs.exists(spark, lake.landing(feed)):
+        headers = [tuple(columns)] if columns else list(listed_headers(spark, lake.landing(feed), glob, files_per_batch))
+        if headers:
+            pin_columns(spark, store, headers)
 
     def ingest(batch: DataFrame, batch_id: int, writer: str) -> None:
         headers = headers_of(spark, sorted(row["path"] for row in batch.collect()))
         if headers:
-            columns = pin_columns(spark, column_store(lake, feed), list(headers.values()))
-            write_batch(read_with_rescue(spark, headers, columns), bronze_path(lake, feed), batch_id, writer)
+            pinned = pin_columns(spark, store, headers.values())
+            write_batch(read_with_rescue(spark, headers, pinned), bronze_path(lake, feed), batch_id, writer)
 
     found = new_files(spark, lake.landing(feed), glob, files_per_batch)
     finish(per_batch(found, ingest, lake.checkpoint("bronze", feed)), DRAIN)

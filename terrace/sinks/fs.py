@@ -41,14 +41,23 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Bytes within which a header line must end.
+LONGEST_LINE = 1 << 20
+
+
 def first_line(spark: SparkSession, path: str) -> str | None:
-    """The first line of a text file, None if the file is empty. Reads one buffer, not the file."""
-    jvm = spark.sparkContext._jvm
+    """The first line of a text file, None if the file is empty. Reads a buffer, never the file: a file without a
+    line break within ``LONGEST_LINE`` bytes is an error."""
     fs, p = _open(spark, path)
     stream = fs.open(p)
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
+        held = b""
+        for size in (1 << 16, LONGEST_LINE - (1 << 16)):
+            more = bytes(stream.readNBytes(size))
+            held += more
+            if b"\n" in held or len(more) < size:
+                return held.split(b"\n", 1)[0].removesuffix(b"\r").decode("utf-8", "replace") if held else None
+        raise ValueError(f"no line break in the first {LONGEST_LINE} bytes of {path}")
     finally:
         stream.close()
 

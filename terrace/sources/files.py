@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from terrace.operators.clean import safe_names, with_lineage
+from terrace.operators.clean import safe_name, safe_names, with_lineage
 from terrace.sinks import fs
 
 RESCUED = "_rescued_data"
 #: A file is new if it was never seen, however old its time stamp is (backfills, copies that keep time stamps). The
 #: price is that a stream remembers every path: about 100 bytes each in its checkpoint.
 NO_AGE_LIMIT = "36500d"
-#: Fields beyond the header that are looked at in each row.
-SPARE_FIELDS = 4
 
 
 def read_csv(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
@@ -57,30 +55,55 @@ def pinned_columns(spark: SparkSession, store: str) -> list[str] | None:
     return json.loads(fs.read_text(spark, path)) if fs.exists(spark, path) else None
 
 
-def pin_columns(spark: SparkSession, store: str, headers: Sequence[tuple[str, ...]]) -> list[str]:
-    """Fix the column names of a feed to those of the first files ever seen, and remember them."""
+def pin_columns(spark: SparkSession, store: str, headers: Iterable[tuple[str, ...]]) -> list[str]:
+    """Fix the column names of a feed to those of ``headers``, and remember them. Of names that Spark would take for one
+    (another case, other special characters) the first is a column; the values of the others are rescued."""
     pinned = pinned_columns(spark, store)
     if pinned is None:
-        pinned = list(dict.fromkeys(name for header in headers for name in header))
-        safe_names(pinned)
+        taken: dict[str, str] = {}
+        for name in (n for header in headers for n in header):
+            taken.setdefault(safe_name(name).lower(), name)
+        pinned = list(taken.values())
         fs.write_text_once(spark, f"{store}/columns.json", json.dumps(pinned))
     return pinned
 
 
+def listed_headers(spark: SparkSession, path: str, glob: str, at_once: int = 10_000) -> Iterator[tuple[str, ...]]:
+    """The headers of all files there are, in order of their paths: each distinct one once, so that what is kept is small."""
+    rows = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path)
+    seen: set[tuple[str, ...]] = set()
+    held: list[str] = []
+    for row in [*rows.filter("length > 0").select("path").orderBy("path").toLocalIterator(), None]:
+        if row:
+            held.append(row["path"])
+        if held and (row is None or len(held) == at_once):
+            found = headers_of(spark, held)
+            yield from (found[p] for p in held if p in found and not (found[p] in seen or seen.add(found[p])))
+            held = []
+
+
+def _beyond(row: Column, fields: int) -> Column:
+    """Whether a line of CSV text has anything but blanks after its first ``fields`` fields."""
+    field = r'(?:"(?:[^"\\]|\\.|"")*"[^,]*|[^,"][^,]*|)'
+    rest = F.regexp_extract(row, rf"(?s)^{field}(?:,{field}){{{fields - 1}}},(.*)$", 1)
+    return rest.rlike(r'[^,\s"]')
+
+
 def _aligned(spark: SparkSession, header: tuple[str, ...], paths: list[str], columns: Sequence[str]) -> DataFrame:
     """Files of one header as text columns in the pinned order. Names are matched exactly; what the
-    pinned columns do not cover is kept as JSON. A row with more fields than its header keeps its whole text there."""
-    names = [*range(len(header)), *(f"spare{i}" for i in range(SPARE_FIELDS)), "row"]
+    pinned columns do not cover is kept as JSON. A row with more fields than its header keeps its whole text there,
+    unless what is beyond is blank: Spark hands over the text of every row whose number of fields differs."""
+    names = [*range(len(header)), "row"]
     positions = StructType([StructField(f"_{i}", StringType()) for i in names])
     reader = spark.read.schema(positions).option("header", True).option("columnNameOfCorruptRecord", "_row")
     rows = with_lineage(reader.csv(paths))
-    surplus = reduce(lambda a, b: a | b, [F.col(f"_spare{i}").isNotNull() for i in range(SPARE_FIELDS)])
+    surplus = F.coalesce(_beyond(F.col("_row"), len(header)), F.lit(False))
     place: dict[str, int] = {}
     for i, name in enumerate(header):
         place.setdefault(name, i)
     known = [
         (F.col(f"_{place[c]}") if c in place else F.lit(None).cast("string")).alias(safe)
-        for c, safe in zip(columns, safe_names(columns))
+        for c, safe in zip(columns, safe_names(list(columns)))
     ]
     extra = [(i, n if place[n] == i else f"{n}#{i}") for i, n in enumerate(header) if n not in columns or place[n] != i]
     present = reduce(lambda a, b: a | b, [F.col(f"_{i}").isNotNull() for i, _ in extra], surplus)

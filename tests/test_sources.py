@@ -150,3 +150,45 @@ def test_fields_beyond_the_header_are_rescued(spark, tmp_path):
     assert rows == {
         "1": ("2", {"_surplus_row": "1,2,3"}), "4": ("5", None), "6": (None, None), "7": ("8", {"_surplus_row": "7,8,,9"}),
     }
+
+
+def test_far_fields_quotes_and_blank_ends(spark, tmp_path, landing):
+    lines = ['1,2,,,,,x', '3,4,,,,,', '5', '"a,b",6,', '"c,d","e ""f""",y', '7,8, ,"z,z"', '9,"q", \t']
+    landing("a.csv", "A,B", *lines)
+    ingest(spark, tmp_path)
+    _, rows = bronze(spark, tmp_path)
+    got = {r[0]: (r[1], json.loads(r[2]) if r[2] else None) for r in rows}
+    surplus = {r: v["_surplus_row"] for r, (_, v) in got.items() if v}
+    assert surplus == {"1": "1,2,,,,,x", "c,d": '"c,d","e ""f""",y', "7": '7,8, ,"z,z"'}
+    assert {k: v[0] for k, v in got.items()} == {"1": "2", "3": "4", "5": None, "a,b": "6", "c,d": '"e ""f"""', "7": "8", "9": "q"}
+
+
+def test_names_that_differ_in_case_only_do_not_stop_the_load(spark, tmp_path, landing):
+    landing("a.csv", "A,B b", "1,2")
+    landing("b.csv", "a,B,B-b", "3,4,5")
+    ingest(spark, tmp_path)
+    columns, rows = bronze(spark, tmp_path)
+    assert columns[:3] == ["A", "B_b", "B"]
+    assert sorted(rows, key=str) == sorted([("1", "2", None, None), (None, None, "4", '{"a":"3","B-b":"5"}')], key=str)
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 2, 10])
+def test_columns_do_not_depend_on_the_batches(spark, tmp_path, landing, files_per_batch):
+    for k in range(4):
+        landing(f"{k}.csv", f"A,X{k}", f"{k},x")
+    ingest(spark, tmp_path, files_per_batch=files_per_batch)
+    columns, rows = bronze(spark, tmp_path)
+    assert columns[:6] == ["A", "X0", "X1", "X2", "X3", "_rescued_data"] and all(r[5] is None for r in rows)
+    landing("late.csv", "A,Y", "9,y")
+    ingest(spark, tmp_path, files_per_batch=files_per_batch)
+    assert ("9", None, None, None, None, '{"Y":"y"}') in bronze(spark, tmp_path)[1]
+
+
+def test_declared_columns_and_a_file_without_line_breaks(spark, tmp_path, landing):
+    landing("a.csv", "A,B", "1,2")
+    ingest(spark, tmp_path, columns=["B", "Z"])
+    columns, rows = bronze(spark, tmp_path)
+    assert columns[:2] == ["B", "Z"] and rows == [("2", None, '{"A":"1"}')]
+    landing("b.csv", "x" * (3 << 20))
+    with pytest.raises(Exception, match="no line break"):
+        headers_of(spark, [str(tmp_path / "landing" / "feed" / "b.csv")])

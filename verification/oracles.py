@@ -183,7 +183,11 @@ def windows(source: str) -> str:
 
 
 ORDERS_TEXT = """select cast(o_orderkey as varchar) as Order_Key, cast(o_custkey as varchar) as Customer,
-  o_orderstatus as Status, {priority} as Priority, {rescued} as _rescued_data from orders {where}"""
+  o_orderstatus as Status, {priority} as Priority, cast(o_orderdate as varchar) as o_orderdate,
+  cast(o_totalprice as varchar) as o_totalprice, {rescued} as _rescued_data from orders {where}"""
+
+LINE_COLUMNS = ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+                "l_linestatus l_shipdate").split()
 
 UPSERTED = """
 select o_orderkey, o_custkey, case when o_orderkey % 3 <> 1 then 'X' else o_orderstatus end as o_orderstatus,
@@ -199,8 +203,7 @@ CORRECTED = SILVER.replace(", silver as (", ", as_sent as (") + """
 """
 
 ORACLES = {
-    "sanitize_columns": """select l_orderkey as order_key, l_linenumber as line_number, l_quantity as quantity_units_,
-        l_returnflag as return_flag from lineitem""",
+    "sanitize_columns": f"select {', '.join(f'{c} as {c}_{i}' for i, c in enumerate(LINE_COLUMNS))} from lineitem",
     "contract_projection": f"{FLIGHTS_CTE} select {TYPED_COLUMNS} from bronze",
     "normalize_hhmm": f"""{FLIGHTS_CTE} select l_orderkey, l_linenumber, {clock('CRSDepTime', 'crs_dep_time')},
         {clock('DepTime', 'dep_time')}, {clock('CRSArrTime', 'crs_arr_time')}, {clock('ArrTime', 'arr_time')} from bronze""",
@@ -287,7 +290,12 @@ ORACLES = {
         rescued="case when o_orderkey % 2 <> 0 then '{\"Rank\":\"' || o_orderpriority || '\"}' end",
         where="",
     ),
-    "file_counts": "select count(*) as rows, cast(0 as bigint) as files_without_time from orders",
+    "rescue_surplus": """select cast(o_orderkey as varchar) as Order_Key, o_orderstatus as Status,
+        case o_orderkey % 5 when 0 then '{"_surplus_row":"' || o_orderkey || ',' || o_orderstatus || ',,,,,,far"}'
+          when 2 then '{"_surplus_row":"' || o_orderkey || ',' || o_orderstatus || ',\\"' || o_orderpriority || ',x\\""}' end
+          as _rescued_data from orders""",
+    "file_counts": """select substr(o_orderpriority, 1, 1) || '_' || o_orderstatus as file, count(*) as rows, true as has_time
+        from orders group by 1""",
     "upsert_snapshot": UPSERTED.format(extra=""),
     "upsert_newer_wins": UPSERTED.format(extra=", case when o_orderkey % 3 <> 1 then 2 else 1 end as arrived"),
     "clustered_write": f"{FACT} select * from fact",

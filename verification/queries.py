@@ -67,13 +67,8 @@ def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFr
 @query
 def sanitize_columns_(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    odd = lines.select(
-        F.col("l_orderkey").alias("order key"),
-        F.col("l_linenumber").alias("line.number"),
-        F.col("l_quantity").alias("quantity(units)"),
-        F.col("l_returnflag").alias("return-flag"),
-    )
-    return sanitize_columns(odd)
+    marks = " .-()/%#&+"
+    return sanitize_columns(lines.toDF(*[f"{c}{marks[i % len(marks)]}{i}" for i, c in enumerate(lines.columns)]))
 
 
 @query
@@ -403,21 +398,17 @@ def _ingest(spark: SparkSession, work: str, *landings: DataFrame) -> DataFrame:
 
 def _orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return orders.select(
-        F.col("o_orderkey").cast("string").alias("Order Key"),
-        F.col("o_custkey").cast("string").alias("Customer"),
-        F.col("o_orderstatus").alias("Status"),
-        F.col("o_orderpriority").alias("Priority"),
-    )
+    names = {"o_orderkey": "Order Key", "o_custkey": "Customer", "o_orderstatus": "Status", "o_orderpriority": "Priority"}
+    return orders.select(*[F.col(c).cast("string").alias(names.get(c, c)) for c in orders.columns])
 
 
 @query
 def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two drops of files, each ingested exactly once."""
+    """Two drops of files with all columns, each ingested exactly once."""
     rows = _orders_text(spark, sf_dir)
     even = F.col("Order Key").cast("long") % 2 == 0
     loaded = _ingest(spark, scratch(spark, "ingest"), rows.filter(even), rows.filter(~even))
-    return loaded.select("Order_Key", "Customer", "Status", "Priority", "_rescued_data")
+    return loaded.drop("_ingest_ts", "_source_file")
 
 
 @query
@@ -425,16 +416,38 @@ def rescue_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second drop has its columns in another order, lacks one and adds one."""
     rows = _orders_text(spark, sf_dir)
     even = F.col("Order Key").cast("long") % 2 == 0
-    drifted = rows.filter(~even).select("Status", F.col("Priority").alias("Rank"), "Order Key", "Customer")
+    drifted = rows.filter(~even).select("Status", F.col("Priority").alias("Rank"), "Order Key", "Customer", "o_orderdate", "o_totalprice")
     loaded = _ingest(spark, scratch(spark, "rescue"), rows.filter(even), drifted)
-    return loaded.select("Order_Key", "Customer", "Status", "Priority", "_rescued_data")
+    return loaded.drop("_ingest_ts", "_source_file")
+
+
+@query
+def rescue_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with fields beyond their header, near, far off, quoted or blank, next to lines with as many as it."""
+    orders = table(spark, sf_dir, "orders")
+    tail = F.expr("""case o_orderkey % 5 when 0 then ',,,,,,far' when 1 then ',,,' when 2 then concat(',"', o_orderpriority, ',x"') else '' end""")
+    work = scratch(spark, "surplus")
+    lines = orders.select(F.concat(F.concat_ws(",", "o_orderkey", "o_orderstatus"), tail).alias("Order Key,Status"))
+    lines.write.options(header=True, quote="", escapeQuotes=False, sep="\u0001").csv(f"{work}/files")
+    paths = sorted(r["path"] for r in spark.read.format("binaryFile").load(f"{work}/files").filter("length > 0").select("path").collect())
+    headers = headers_of(spark, [p for p in paths if p.endswith(".csv")])
+    columns = pin_columns(spark, f"{work}/columns", headers.values())
+    return read_with_rescue(spark, headers, columns).drop("_ingest_ts", "_source_file")
 
 
 @query
 def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loaded = _ingest(spark, scratch(spark, "counts"), _orders_text(spark, sf_dir))
+    """Rows of each file: one file for each order priority and status."""
+    work = scratch(spark, "counts")
+    rows = _orders_text(spark, sf_dir).withColumn("drop", F.concat_ws("_", F.substring("Priority", 1, 1), "Status"))
+    rows.repartition("drop").write.partitionBy("drop").option("header", True).csv(f"{work}/landing")
+    paths = sorted(r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{work}/landing").select("path").collect())
+    headers = headers_of(spark, [p for p in paths if p.endswith(".csv")])
+    loaded = read_with_rescue(spark, headers, pin_columns(spark, f"{work}/columns", headers.values()))
     counts = quality.file_counts(loaded)
-    return counts.agg(F.sum("rows").alias("rows"), F.count_if(F.col("ingested_at").isNull()).alias("files_without_time"))
+    return counts.select(
+        F.regexp_extract("_source_file", "drop=([^/]*)/", 1).alias("file"), "rows", F.col("ingested_at").isNotNull().alias("has_time")
+    )
 
 
 def _order_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
