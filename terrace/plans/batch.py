@@ -15,7 +15,7 @@ from terrace.operators.quality import enforce, file_counts, gate, reconcile
 from terrace.sinks.snapshot import SnapshotTable
 from terrace.plans.refresh import Gold
 from terrace.sinks import fs
-from terrace.sinks.tables import clustered, name_for_sql, publish, read_batches, stage_gold, write_batch
+from terrace.sinks.tables import interleaved, name_for_sql, publish, read_batches, stage_gold, write_batch
 from terrace.sources.files import RESCUED, headers_of, listed_headers, new_files, pin_columns, pinned_columns, read_with_rescue
 from terrace.spec import TableSpec
 from terrace.streaming.run import DRAIN, finish, per_batch
@@ -139,12 +139,12 @@ def run_gold(spark: SparkSession, lake: Lake, silver: DataFrame | None = None, p
     """Rebuild the star schema from silver beside the published one, check it, and only then publish it; raises
     and leaves the old tables as they are if it is broken. Returns the checks.
 
-    Silver is scanned in full once, for the fact, which is written in its clustered layout at once. The
-    rollup reads the written fact, and the date and carrier dimensions read the rollup, which names
+    Silver is scanned in full once, for the fact, which is written in its clustered layout at once (two passes over
+    its date and carrier come before). The rollup reads the written fact, and the date and carrier dimensions read the rollup, which names
     every date and carrier there is in far fewer rows. Only airports need silver again (six columns).
     """
     silver = silver_table(spark, lake).read() if silver is None else silver
-    laid_out = clustered(model.fact_flights(silver), ["date_key", "carrier_code"], partitions)
+    laid_out = interleaved(model.fact_flights(silver), ["date_key", "carrier_code"], partitions)
     staged: dict[str, tuple[DataFrame, str]] = {}
 
     def stage(df: DataFrame, name: str) -> DataFrame:

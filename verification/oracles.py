@@ -304,4 +304,5 @@ ORACLES = {
 select 'dim_airport' as dimension, airport_code as member, concat_ws('/', city, state) as shown from dim_airport
 union all select 'dim_carrier', carrier_code, carrier_name from dim_carrier
 union all select 'dim_date', cast(date_key as varchar), day_name from dim_date""",
+    "interleaved_write": f"{FACT} select * from fact",
 }

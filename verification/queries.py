@@ -19,7 +19,7 @@ from terrace.operators.star import with_role
 from terrace.plans.batch import FEED
 from terrace.plans.refresh import Gold
 from terrace.sinks.snapshot import SnapshotTable
-from terrace.sinks.tables import clustered, read_batches, write_batch
+from terrace.sinks.tables import clustered, interleaved, read_batches, write_batch
 from terrace.sources.files import headers_of, new_files, pin_columns, read_with_rescue, text_events
 from terrace.spec import Reference
 from terrace.streaming import events as ev
@@ -521,3 +521,10 @@ def incremental_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clustered_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact in its clustered layout, read back."""
     return materialize(clustered(_fact(spark, sf_dir), ["date_key", "carrier_code"]), "clustered")
+
+
+@query
+def interleaved_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact laid out by date and carrier at once, read back."""
+    fact = materialize(_fact(spark, sf_dir), "fact")
+    return materialize(interleaved(fact, ["date_key", "carrier_code"], 32), "interleaved")
