@@ -26,6 +26,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--files-per-batch", type=int, help="files of a micro-batch, at most")
     parser.add_argument("--bytes-per-batch", help="bytes of a silver micro-batch, e.g. 64g")
     parser.add_argument("--spread", type=int, default=0, help="slices of the first pass against repeated events")
+    parser.add_argument("--off-heap", action="store_true", help="keep stream state in RocksDB")
+    parser.add_argument("--keep-late", action="store_true", help="also split events into on-time and late ones")
     parser.add_argument("--broker-namespace", help="read events from this broker instead of the landing folder")
     parser.add_argument("--broker-topic", help="its topic")
     parser.add_argument("--broker-secret-env", metavar="NAME", help="environment variable that holds its connection string")
@@ -52,7 +54,9 @@ def main(argv: list[str] | None = None) -> None:
         secret = os.environ[args.broker_secret_env]
         source = kafka_events(spark, kafka_options(args.broker_namespace, args.broker_topic, secret))
     trigger = every(args.every) if args.every else DRAIN
-    run_events(spark, lake, source, trigger, spread=args.spread, files_per_batch=args.files_per_batch)
+    run_events(
+        spark, lake, source, trigger, spread=args.spread, files_per_batch=args.files_per_batch, off_heap=args.off_heap, keep_late=args.keep_late
+    )
     if args.every:
         spark.streams.awaitAnyTermination()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +13,8 @@ from terrace.sinks.snapshot import SnapshotTable
 from terrace.sinks.tables import name_for_sql
 from terrace.sources.files import text_events
 from terrace.streaming.events import WINDOW_KEY, airport_delays, dedupe_events, parse_events
-from terrace.streaming.run import DRAIN, append_to_table, finish, per_batch
+from terrace.streaming.late import LateSplit
+from terrace.streaming.run import DRAIN, append_to_table, finish, off_heap_state, per_batch
 
 RAW = "flight_events_raw"
 EVENTS = "flight_events"
@@ -30,6 +33,15 @@ def land_events(source: DataFrame, lake: Lake, trigger: dict = DRAIN) -> Streami
     )
 
 
+def _valid(spark: SparkSession, lake: Lake) -> DataFrame:
+    return parse_events(spark.readStream.table(lake.table("bronze", RAW)))
+
+
+def late_events(spark: SparkSession, lake: Lake) -> LateSplit:
+    """Valid events by whether they came within ten minutes of the latest one seen before."""
+    return LateSplit(spark, lake.path("silver", f"{EVENTS}_by_lateness"))
+
+
 def refine_events(spark: SparkSession, lake: Lake, trigger: dict = DRAIN, spread: int = 0) -> StreamingQuery:
     """Hop 2: parse, validate, drop repeats."""
     raw = spark.readStream.table(lake.table("bronze", RAW))
@@ -57,10 +69,11 @@ def publish_windows(spark: SparkSession, lake: Lake, trigger: dict = DRAIN) -> S
 
 def run_events(
     spark: SparkSession, lake: Lake, source: DataFrame | None = None, trigger: dict = DRAIN, timeout: float | None = None,
-    spread: int = 0, files_per_batch: int | None = None,
+    spread: int = 0, files_per_batch: int | None = None, off_heap: bool = False, keep_late: bool = False,
 ) -> list[StreamingQuery]:
     """Run the hops. When draining, each ends before the next begins; otherwise all three keep running,
     each with its own checkpoint, until stopped. The default source is the landing folder, ``files_per_batch`` files at a time.
+    ``off_heap`` keeps state in RocksDB; ``keep_late`` also splits valid events into on-time and late ones (:func:`late_events`).
     ``spread``: slices of the first pass that removes repeats of an event a source sends very often."""
     create_schemas(spark, lake)
     source = text_events(spark, lake.landing("events"), per_batch=files_per_batch) if source is None else source
@@ -69,4 +82,7 @@ def run_events(
         lambda: refine_events(spark, lake, trigger, spread),
         lambda: publish_windows(spark, lake, trigger),
     )
-    return [finish(start(), trigger, timeout) for start in hops]
+    if keep_late:
+        hops = (*hops, lambda: late_events(spark, lake).start(_valid(spark, lake), lake.checkpoint("events", "late"), trigger))
+    with off_heap_state(spark) if off_heap else nullcontext():
+        return [finish(start(), trigger, timeout) for start in hops]

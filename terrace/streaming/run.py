@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from terrace.sinks.snapshot import SnapshotTable
@@ -16,6 +18,32 @@ def every(interval: str = "30 seconds") -> dict[str, str]:
     return {"processingTime": interval}
 
 
+@contextmanager
+def off_heap_state(spark: SparkSession, changelog: bool = True) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB on the executors' disks, not in the JVM heap. With ``changelog``
+    a batch uploads what changed instead of whole snapshots. A checkpoint keeps the provider it began with."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": str(changelog).lower(),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_report(query: StreamingQuery) -> list[dict]:
+    """For each stateful operator of the last micro-batch: its name, rows and bytes held, rows dropped as late."""
+    progress = query.lastProgress
+    found = json.loads(progress.json if hasattr(progress, "json") else json.dumps(progress))["stateOperators"] if progress else []
+    names = {"operatorName": "operator", "numRowsTotal": "rows", "memoryUsedBytes": "bytes", "numRowsDroppedByWatermark": "late"}
+    return [{new: o.get(old) for old, new in names.items()} for o in found]
+
+
 def finish(query: StreamingQuery, trigger: dict, timeout: float | None = None) -> StreamingQuery:
     """Wait for a draining query to end; leave a continuous one running."""
     if "availableNow" in trigger:

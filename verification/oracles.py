@@ -305,4 +305,11 @@ select 'dim_airport' as dimension, airport_code as member, concat_ws('/', city,
 union all select 'dim_carrier', carrier_code, carrier_name from dim_carrier
 union all select 'dim_date', cast(date_key as varchar), day_name from dim_date""",
     "interleaved_write": f"{FACT} select * from fact",
+    "stream_late": f"""{PARSED}
+, span as (select epoch(min(ts))::bigint as low, greatest(1, epoch(max(ts))::bigint - epoch(min(ts))::bigint) as width from events)
+, own as (select event_id, event_ts, least(3, floor((epoch(event_ts)::bigint - low) * 4 / width)::int) as s from valid, span)
+, sliced as (select event_id, event_ts, if(cast(substr(event_id, 2) as bigint) % 20 = 7 and s < 3, 4, s) as slice from own)
+, latest as (select slice, max(event_ts) as m from sliced group by 1)
+, marks as (select d as slice, (select max(m) from latest where latest.slice < d) as mark from range(0, 5) t(d))
+select event_id, event_ts, coalesce(event_ts < mark - interval 10 minutes, false) as late from sliced join marks using (slice)""",
 }

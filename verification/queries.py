@@ -23,6 +23,7 @@ from terrace.sinks.tables import clustered, interleaved, read_batches, write_bat
 from terrace.sources.files import headers_of, new_files, pin_columns, read_with_rescue, text_events
 from terrace.spec import Reference
 from terrace.streaming import events as ev
+from terrace.streaming.late import LateSplit
 from terrace.streaming.run import finish, per_batch, upsert_into
 from verification.adapters import TIES, event_bodies, raw_flights, table
 
@@ -377,6 +378,35 @@ def stream_windows_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _zoneless(_drain_to_parquet(ev.airport_delays(once, watermark=None), work))
 
 
+LATE_SLICES = 4
+
+
+def _in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with the drop they come in: four in order of time, then one with every twentieth event of the first three."""
+    span = table(spark, sf_dir, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    low, width = span[0], max(1, span[1] - span[0])
+    at = F.try_to_timestamp(F.get_json_object("body", "$.event_ts"))
+    own = F.coalesce(F.least(F.floor((F.unix_seconds(at) - low) * LATE_SLICES / width), F.lit(LATE_SLICES - 1)), F.lit(0))
+    number = F.get_json_object("body", "$.event_id").substr(2, 20).try_cast("bigint")
+    held_back = F.coalesce(number % 20 == 7, F.lit(False)) & (own < LATE_SLICES - 1)
+    return event_bodies(spark, sf_dir).withColumn("slice", F.when(held_back, LATE_SLICES).otherwise(own))
+
+
+@query
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five drops of files, drained one after the other under one checkpoint; the last holds events that are late."""
+    work = scratch(spark, "stream-late")
+    split = LateSplit(spark, f"{work}/split")
+    bodies = materialize(_in_slices(spark, sf_dir), "slices")
+    events = None
+    for drop in range(LATE_SLICES + 1):
+        bodies.filter(F.col("slice") == drop).select("body").write.text(f"{work}/in/drop={drop}")
+        events = ev.parse_events(text_events(spark, f"{work}/in", "*.txt"))
+        finish(split.start(events, f"{work}/checkpoint"), DRAIN)
+    parts = [rows(events.schema).select("event_id", "event_ts", F.lit(late).alias("late")) for rows, late in ((split.on_time, False), (split.late, True))]
+    return _zoneless(parts[0].unionByName(parts[1]))
+
+
 # ---- sources and sinks
 
 
