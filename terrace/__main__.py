@@ -22,6 +22,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--prefix", default="", help="put before schema names")
     parser.add_argument("--every", metavar="INTERVAL", help="keep the event job running, e.g. '30 seconds'")
     parser.add_argument("--incremental", action="store_true", help="maintain gold from what changed in silver instead of rebuilding it")
+    parser.add_argument("--ledger", action="store_true", help="remember ingested files in a table and reload replaced ones")
     parser.add_argument("--newer-wins", action="store_true", help="ignore late copies that are older than the stored row")
     parser.add_argument("--files-per-batch", type=int, help="files of a micro-batch, at most")
     parser.add_argument("--bytes-per-batch", help="bytes of a silver micro-batch, e.g. 64g")
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     lake = Lake(args.root, args.catalog, args.prefix)
     if args.job == "batch":
         for name, report in run_batch(
-            spark, lake, args.incremental, args.newer_wins, args.files_per_batch or 10_000, args.bytes_per_batch
+            spark, lake, args.incremental, args.newer_wins, args.files_per_batch or 10_000, args.bytes_per_batch, args.ledger
         ).items():
             print(name)
             report.show(50, truncate=False)

@@ -17,6 +17,7 @@ from terrace.plans.refresh import Gold
 from terrace.sinks import fs
 from terrace.sinks.tables import interleaved, name_for_sql, publish, read_batches, stage_gold, write_batch
 from terrace.sources.files import RESCUED, headers_of, listed_headers, new_files, pin_columns, pinned_columns, read_with_rescue
+from terrace.sources.ledger import FileLedger
 from terrace.spec import TableSpec
 from terrace.streaming.run import DRAIN, finish, per_batch
 
@@ -83,14 +84,19 @@ def name_layers(spark: SparkSession, lake: Lake, spec: TableSpec = FLIGHTS, feed
     return list(named)
 
 
+def file_ledger(spark: SparkSession, lake: Lake, feed: str = FEED) -> FileLedger:
+    return FileLedger(spark, lake.path("meta", "ledgers", feed))
+
+
 def run_bronze(
     spark: SparkSession, lake: Lake, feed: str = FEED, glob: str = "*.csv", files_per_batch: int = 10_000,
-    columns: Sequence[str] | None = None,
+    columns: Sequence[str] | None = None, by_ledger: bool = False,
 ) -> DataFrame:
     """Ingest files not seen before, as text, with lineage. Returns rows per source file.
 
     The first run fixes the columns: those given, or those of all files that lie there then, whatever the batches.
-    Only paths and header lines pass through the driver, ``files_per_batch`` of them at a time.
+    Only paths and header lines pass through the driver, ``files_per_batch`` of them at a time. ``by_ledger`` keeps a table
+    of ingested files instead of a stream's checkpoint, and ingests a file again that was replaced; a feed has to stay with one way.
     """
     store = column_store(lake, feed)
     if pinned_columns(spark, store) is None and fs.exists(spark, lake.landing(feed)):
@@ -98,13 +104,17 @@ def run_bronze(
         if headers:
             pin_columns(spark, store, headers)
 
-    def ingest(batch: DataFrame, batch_id: int, writer: str) -> None:
-        headers = headers_of(spark, sorted(row["path"] for row in batch.collect()))
+    def take(paths: list[str], batch_id: int, writer: str) -> None:
+        headers = headers_of(spark, paths)
         if headers:
             pinned = pin_columns(spark, store, headers.values())
             write_batch(read_with_rescue(spark, headers, pinned), bronze_path(lake, feed), batch_id, writer)
 
+    if by_ledger:
+        file_ledger(spark, lake, feed).load(lake.landing(feed), glob, files_per_batch, take)
+        return file_counts(bronze_rows(spark, lake, feed))
     found = new_files(spark, lake.landing(feed), glob, files_per_batch)
+    ingest = lambda batch, i, writer: take(sorted(r["path"] for r in batch.collect()), i, writer)
     finish(per_batch(found, ingest, lake.checkpoint("bronze", feed)), DRAIN)
     return file_counts(bronze_rows(spark, lake, feed))
 
@@ -172,11 +182,11 @@ def refresh_gold(spark: SparkSession, lake: Lake) -> DataFrame:
 
 def run_batch(
     spark: SparkSession, lake: Lake, incremental: bool = False, newer_wins: bool = False, files_per_batch: int = 10_000,
-    bytes_per_batch: str | None = None,
+    bytes_per_batch: str | None = None, by_ledger: bool = False,
 ) -> dict[str, DataFrame]:
     """Bronze, silver, gold in order; an exception in one stops those after it. ``incremental``: maintain gold instead of rebuilding it."""
     create_schemas(spark, lake)
-    reports = {"bronze": run_bronze(spark, lake, files_per_batch=files_per_batch)}
+    reports = {"bronze": run_bronze(spark, lake, files_per_batch=files_per_batch, by_ledger=by_ledger)}
     reports["silver"] = run_silver(spark, lake, newer_wins=newer_wins, bytes_per_batch=bytes_per_batch)
     name_layers(spark, lake)
     return reports | {"gold": refresh_gold(spark, lake) if incremental else run_gold(spark, lake)}

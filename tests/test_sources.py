@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.lake import Lake
-from terrace.plans.batch import bronze_rows, run_bronze
+from terrace.plans.batch import bronze_rows, file_ledger, run_bronze
 from terrace.sources.files import headers_of, read_csv
 from terrace.sources.kafka import LOGIN_CLASS, SHADED_PREFIX, kafka_options, records
 
@@ -192,3 +192,32 @@ def test_declared_columns_and_a_file_without_line_breaks(spark, tmp_path, landin
     landing("b.csv", "x" * (3 << 20))
     with pytest.raises(Exception, match="no line break"):
         headers_of(spark, [str(tmp_path / "landing" / "feed" / "b.csv")])
+
+
+def test_a_ledger_finds_new_and_replaced_files_and_repeats_unnoted_work(spark, tmp_path, landing):
+    lake = Lake(str(tmp_path))
+    for k in range(5):
+        landing(f"{k}.csv", "A,B", f"{k},x")
+    landing("empty.csv")
+    ingest(spark, tmp_path, by_ledger=True, files_per_batch=2)
+    ledger = file_ledger(spark, lake, "feed")
+    assert sorted(r.batch for r in ledger.rows().collect()) == [0, 0, 1, 1, 2]
+    assert ledger.pending(lake.landing("feed"), "*.csv").count() == 0
+
+    landing("1.csv", "A,B", "1,other", "1,more")
+    landing("5.csv", "B,A", "y,5")
+    found = {r.path.rsplit("/", 1)[1]: r.replaced for r in ledger.pending(lake.landing("feed"), "*.csv").collect()}
+    assert found == {"1.csv": True, "5.csv": False}
+    failing = []
+
+    def fail_once(paths, batch_id, writer):
+        failing.append(batch_id)
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        ledger.load(lake.landing("feed"), "*.csv", 10, fail_once)
+    ingest(spark, tmp_path, by_ledger=True)
+    ingest(spark, tmp_path, by_ledger=True)
+    assert failing == [3] and ledger.next_batch() == 4
+    _, rows = bronze(spark, tmp_path)
+    assert sorted(r[:2] for r in rows) == [("0", "x"), ("1", "more"), ("1", "other"), ("1", "x"), ("2", "x"), ("3", "x"), ("4", "x"), ("5", "y")]

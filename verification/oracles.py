@@ -285,6 +285,10 @@ ORACLES = {
     "stream_windows_append": f"""{PARSED} select * from ({windows('once')})
         where window_end <= (select max(event_ts) from valid) - interval 10 minutes""",
     "ingest_csv": ORDERS_TEXT.format(priority="o_orderpriority", rescued="cast(null as varchar)", where=""),
+    "ingest_ledger": f"""with loaded as ({ORDERS_TEXT.format(priority='o_orderpriority', rescued='cast(null as varchar)', where='')}),
+        drops as (select o_orderkey % 2 as drop, count(distinct substr(o_orderpriority, 1, 1) || o_orderstatus) as n from orders group by 1)
+        select loaded.*, files, files as paths, batches from loaded,
+        (select cast(sum(n) as bigint) as files, cast(sum(ceil(n / 3)) as bigint) as batches from drops)""",
     "rescue_columns": ORDERS_TEXT.format(
         priority="case when o_orderkey % 2 = 0 then o_orderpriority end",
         rescued="case when o_orderkey % 2 <> 0 then '{\"Rank\":\"' || o_orderpriority || '\"}' end",

@@ -21,6 +21,7 @@ from terrace.plans.refresh import Gold
 from terrace.sinks.snapshot import SnapshotTable
 from terrace.sinks.tables import clustered, interleaved, read_batches, write_batch
 from terrace.sources.files import headers_of, new_files, pin_columns, read_with_rescue, text_events
+from terrace.sources.ledger import FileLedger
 from terrace.spec import Reference
 from terrace.streaming import events as ev
 from terrace.streaming.late import LateSplit
@@ -441,6 +442,27 @@ def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.drop("_ingest_ts", "_source_file")
 
 
+@query
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops loaded by ledger, three files at a time, with a load in between that finds nothing: rows with the number of files and batches."""
+    work = scratch(spark, "ledger")
+    ledger = FileLedger(spark, f"{work}/ledger")
+    rows = _orders_text(spark, sf_dir).withColumn("part", F.concat_ws("_", F.substring("Priority", 1, 1), "Status"))
+
+    def take(paths: list[str], batch_id: int, writer: str) -> None:
+        headers = headers_of(spark, paths)
+        write_batch(read_with_rescue(spark, headers, pin_columns(spark, f"{work}/columns", headers.values())), f"{work}/bronze", batch_id, writer)
+
+    even = F.col("Order Key").cast("long") % 2 == 0
+    for drop, part in enumerate((rows.filter(even), rows.filter(~even))):
+        part.repartition("part").write.partitionBy("part").option("header", True).csv(f"{work}/landing/drop={drop}")
+        for _ in range(2):
+            ledger.load(f"{work}/landing", "*.csv", 3, take)
+    noted = ledger.rows().agg(F.count("*").alias("files"), F.count_distinct("path").alias("paths"), F.count_distinct("batch").alias("batches"))
+    loaded = read_batches(spark, f"{work}/bronze").drop("_ingest_ts", "_source_file")
+    return loaded.crossJoin(F.broadcast(noted))  # one row
+
+
 @query
 def rescue_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second drop has its columns in another order, lacks one and adds one."""
