@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import map_arrow, slices, stored
+from terrace.llm.shared import free_names, map_arrow, slices, stored
 from terrace.llm.words import WHITE, WHITE_IN_LINES, hashed, mixed, split, translated, unique, words
 
 #: Cells of the rarity table, and of one page of it.
@@ -456,12 +456,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
                     length: str | None = None) -> DataFrame:
     """``docs`` with the removed lines cut from the text. A document that loses all lines that had a word goes;
     one that loses nothing is unchanged, whatever its text. ``length``: a column to set to the characters left."""
+    own_key, own_hash, removed = free_names(docs, "_key", "_hash", "_removed")
     gone = removals(similar_lines(docs, key, text, how), key).where(F.size("removed") > 0)
-    gone = gone.select(F.col(key).alias("_key"), F.col("doc_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    same = docs[key].eqNullSafe(gone["_key"]) & (F.xxhash64(docs[text]) == gone["_hash"])
-    lines = F.transform(F.split(text, "\n"), lambda l, n: F.when(~F.array_contains("_removed", n), l))
+    gone = gone.select(F.col(key).alias(own_key), F.col("doc_hash").alias(own_hash), F.col("removed").alias(removed))
+    same = docs[key].eqNullSafe(gone[own_key]) & (F.xxhash64(docs[text]) == gone[own_hash])
+    lines = F.transform(F.split(text, "\n"), lambda l, n: F.when(~F.array_contains(removed, n), l))
     cut = F.array_join(F.array_compact(lines), "\n")
-    rows = docs.join(gone, same, "left").withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(cut))
+    rows = docs.join(gone, same, "left").withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(cut))
     if length:
-        rows = rows.withColumn(length, F.when(F.col("_removed").isNull(), F.col(length)).otherwise(F.length(text)))
-    return rows.where(F.col("_removed").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+        rows = rows.withColumn(length, F.when(F.col(removed).isNull(), F.col(length)).otherwise(F.length(text)))
+    return rows.where(F.col(removed).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

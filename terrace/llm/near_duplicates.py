@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.components import components
-from terrace.llm.shared import map_arrow, slices, stored
+from terrace.llm.shared import free_names, map_arrow, slices, stored
 from terrace.llm.words import WHITE, hashed, mixed, unique, words
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -329,15 +329,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Settings = Settings()) -> DataFrame:
     """One document of each component, and every row without a shingle. Of rows that repeat a kept key with the
     same text one stays, whatever their other columns hold."""
+    own_key, own_hash, repeats, text_hash = free_names(docs, "_key", "_hash", "_repeats", "_own")
     judged = _judged(docs, key, text, how).where("kept")
-    places = judged.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(
-        ((F.count("*") > 1) & (F.max("n") > 0)).alias("_repeats")
+    places = judged.groupBy(F.col(key).alias(own_key), F.col("hash").alias(own_hash)).agg(
+        ((F.count("*") > 1) & (F.max("n") > 0)).alias(repeats)
     )
     places = stored(places, "near-kept")
-    body = docs.withColumn("_own", F.xxhash64(text))
+    body = docs.withColumn(text_hash, F.xxhash64(text))
 
     def held(some: DataFrame) -> DataFrame:
-        return body.join(some, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left_semi")
+        return body.join(some, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(text_hash) == F.col(own_hash)), "left_semi")
 
-    once = held(places.where("_repeats")).dropDuplicates([key, "_own"])
-    return held(places.where("not _repeats")).unionByName(once).select(*docs.columns)
+    once = held(places.where(F.col(repeats))).dropDuplicates([key, text_hash])
+    return held(places.where(~F.col(repeats))).unionByName(once).select(*docs.columns)

@@ -96,5 +96,29 @@ ancestors as (
 select n.conv_id, n.d as depth, up.conv_id as parent_conv_id, n.n as n_convs, n.children as n_children,
     cast(a.leaves as bigint) as n_leaves, cast(a.saved as bigint) as saved_tokens, n.ends_sha256
 from whole n join ancestors a using (d, node) left join nodes up on up.d = n.d - 1 and up.node = n.above
+""",
+    "op9_near_duplicates": r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+),
+shingles as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from split, unnest(range(1, greatest(len(w) - 3, 2))) as u(i) where len(w) > 0
+),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (
+    select a.doc_id as u, b.doc_id as v, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+),
+links as (
+    select u, v from shared join sizes a on a.doc_id = u join sizes b on b.doc_id = v where 100 * k >= 85 * (a.n + b.n - k)
+),
+edges as (select u, v from links union all select v, u from links),
+reached as (
+    select doc_id as u, doc_id as v from documents
+    union
+    select reached.u, edges.v from reached join edges on edges.u = reached.v
+),
+named as (select u as doc_id, min(v) as component_id from reached group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from named left join sizes using (doc_id)
 """,
 }

@@ -135,7 +135,7 @@ class Reader:
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html",
                    least_bytes: int = 0) -> DataFrame:
     """Write every page's record; (page, key, sha, file, offset, length) of each, stored. Null html is an empty payload;
-    payloads of fewer than ``least_bytes`` are always responses."""
+    payloads of fewer than ``least_bytes`` are always responses, and so are equal ones if no page of them has a number to refer to."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     winners = rows.where(large).groupBy("sha").agg(F.max("page").alias("winner"), F.count("*").alias("n"))
     winners = winners.where("n > 1").select("sha", "winner")
     told = rows.join(winners, "sha", "left")
-    refers = F.when(large & (F.col("winner") != F.coalesce("page", F.lit(-1))), F.col("winner"))
+    refers = F.when(large & F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("page")), F.col("winner"))
     told = told.select("page", "url", "payload", "sha", refers.alias("refers_to"))
 
     def write(batches):
@@ -163,6 +163,10 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     return stored(map_arrow(told, write, schema), "warc-captures")
 
 
+#: Stands for a null page id in the index: less than any id can be.
+NO_PAGE = -(2**63) - 1
+
+
 @dataclass(frozen=True)
 class Index:
     """Where the parts are: their first (key, page, sha), and the file, offset and length of each part's directory."""
@@ -172,7 +176,7 @@ class Index:
     directories: dict[int, tuple[str, int, int]]
 
     def part_of(self, key: str, page: int | None, sha: str) -> int:
-        return bisect.bisect_right(self.bounds, (key, -1 if page is None else page, sha))
+        return bisect.bisect_right(self.bounds, (key, NO_PAGE if page is None else page, sha))
 
 
 def cuts(captures: DataFrame) -> list[tuple[str, int, str]]:
@@ -182,8 +186,8 @@ def cuts(captures: DataFrame) -> list[tuple[str, int, str]]:
     parts = min(MAX_PARTS, -(-rows // PART))
     if parts < 2:
         return []
-    sample = captures.sample(min(1.0, 100 * parts / rows), seed=7).select("key", F.coalesce("page", F.lit(-1)).alias("page"), "sha")
-    found = sorted((r["key"], r["page"], r["sha"]) for r in sample.collect())
+    sample = captures.sample(min(1.0, 100 * parts / rows), seed=7).select("key", "page", "sha")
+    found = sorted((r["key"], NO_PAGE if r["page"] is None else r["page"], r["sha"]) for r in sample.collect())
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
@@ -200,7 +204,7 @@ def write_index(captures: DataFrame, folder: str) -> Index:
     kind = dict(captures.dtypes)["page"]
     schema = f"part int, page {kind}, key string, sha string, file string, offset bigint, length bigint"
     dealt = map_arrow(captures, place, schema).repartitionById(len(bounds) + 1, F.col("part"))
-    rows = dealt.sortWithinPartitions("part", "key", F.coalesce("page", F.lit(-1)), "sha")
+    rows = dealt.sortWithinPartitions("part", "key", F.asc_nulls_first("page"), "sha")
 
     def write(batches):
         out, directory, held, at, finished = Writer(folder, ".cdx.gz"), [], [], None, []
@@ -224,7 +228,7 @@ def write_index(captures: DataFrame, folder: str) -> Index:
                     at = part
                 if len(held) == BLOCK:
                     close_block()
-                held.append((key, -1 if page is None else page, sha, file, offset, length))
+                held.append((key, NO_PAGE if page is None else page, sha, file, offset, length))
         close_part()
         out.close()
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
@@ -262,7 +266,7 @@ def lookup(wanted: DataFrame, index: Index, archives: str) -> DataFrame:
                     place = shared.value.directories.get(part)
                     directory = json.loads(zlib.decompress(cdx.range(*place))) if place else []
                     at, block_at = part, None
-                me = [key, -1 if page is None else page, sha]
+                me = [key, NO_PAGE if page is None else page, sha]
                 k = bisect.bisect_right(directory, me, key=lambda x: x[:3]) - 1
                 if k < 0:
                     continue

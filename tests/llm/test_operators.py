@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from terrace.llm import (
-    decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts, toxicity, warc,
+    decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, queries, sharding, token_counts, toxicity, warc,
 )
 from terrace.llm.shared import shared_folder
 
@@ -389,11 +389,31 @@ def test_warc_returns_each_row_under_null_and_repeated_pages(spark, monkeypatch)
     for i, _, html in pages:
         body, winner = (html or "").encode(), max(last[html or ""], default=None)
         digest = __import__("base64").b32encode(hashlib.sha1(body).digest()).decode()
-        first = winner in (None, i) or (winner == -1 and i is None)
+        first = winner in (None, i)
         expected.append((i, len(body), digest, *(("response", None) if first else ("revisit", winner))))
     assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
 
 
+def test_inner_names_do_not_clash(spark):
+    """Documents come back unchanged, with columns named as the operators' own ones."""
+    line = " ".join(f"word{k}" for k in range(12))
+    rows = [(1, f"{line}\nfirst one", "a", "b", "c", "d"), (2, f"{line}\nsecond one", "e", "f", "g", "h"), (None, "third", "i", "j", "k", "l")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _key string, _hash string, _removed string, _own string")
+    cut = sorted(map(tuple, line_dedup.without_repeats(docs).collect()), key=str)
+    assert cut == sorted([rows[0], (2, "second one", *rows[1][2:]), rows[2]], key=str)
+    docs = docs.withColumnRenamed("_removed", "_repeats")
+    assert sorted(map(tuple, near_duplicates.kept_documents(docs).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_kept_follows_the_key_in_the_query(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join([*words, "edited"])), (2, " ".join(words)), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    found = sorted(tuple(r) for r in queries.op9_near_duplicates(spark, "").collect())
+    assert found == [(1, 56, 1, True), (1, 57, 1, True), (2, 56, 1, False), (3, 0, 3, True)]
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.co.uk/a?b=1") == "uk,co,example)/a?b=1"
     assert warc.url_key(None) == ")/"
