@@ -2,13 +2,15 @@
 
 A change is a document's counts with a sign: an insert adds, a delete subtracts, a revision subtracts what was
 counted before and adds what counts now. A batch of changes is aggregated to one signed row for each group and
-written as one delta folder named by the batch; totals are sums over the committed folders. A folder counts once
-Spark's writer has marked it complete, so a batch that died leaves nothing, and a batch that is committed again
-is recognised by its name and left as it is.
+written as one delta folder named by the batch, followed by a commit record of that name. A batch counts once its record
+is there, so a batch that died leaves nothing, and one that is committed again is recognised and left as it is. Totals are
+maintained: compaction keeps the sums as of some batches, and reading adds the batches committed since.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.shared import map_arrow, slices, stored
 from terrace.llm.tokens import WORD_BPE, word_ids
+from terrace.sinks import fs
 
 GROUP = ("source", "lang", "tokenizer")
 MEASURES = ("n_docs", "n_tokens", "n_bytes")
@@ -64,32 +67,53 @@ class Rollup:
     def _folder(self, batch: str) -> str:
         return f"{self.root.rstrip('/')}/batch={batch}"
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+    def _record(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/_commits/{name}.json"
+
+    def _records(self, kind: str) -> list[str]:
+        names = fs.children(self.spark, f"{self.root.rstrip('/')}/_commits")
+        return sorted(n.removeprefix(f"{kind}-").removesuffix(".json") for n in names if n.startswith(f"{kind}-") and n.endswith(".json"))
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self._folder(batch)}/_SUCCESS")
+        return fs.exists(self.spark, self._record(f"batch-{batch}"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed counts. False if this batch was committed before; nothing changes then. An
-        unfinished attempt of the same batch is overwritten. One writer at a time commits a given batch."""
+        unfinished attempt of the same batch is overwritten: a batch counts from the moment its own record is written, whatever
+        files Spark's committer leaves. One writer at a time commits a given batch."""
         if self.committed(batch):
             return False
         sums = changes.groupBy(*GROUP).agg(*_sums())  # combined in each task before the shuffle
         sums.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self._folder(batch))
+        fs.write_text_once(self.spark, self._record(f"batch-{batch}"), json.dumps({"batch": batch}))
         return True
 
+    def _base(self) -> tuple[list[str], set[str], int]:
+        """Folder of the latest totals, the batches in them, and their number."""
+        numbers = self._records("total")
+        if not numbers:
+            return [], set(), 0
+        held = json.loads(fs.read_text(self.spark, self._record(f"total-{numbers[-1]}")))
+        return [held["folder"]], set(held["batches"]), int(numbers[-1])
+
     def totals(self) -> DataFrame:
-        """Current sums of every group that has ever been touched; groups that are back at nothing are left out."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [s.getPath().toString() for s in (files.listStatus(place) if files.exists(place) else [])]
-        done = [p for p in found if "/batch=" in p and self._exists(f"{p}/_SUCCESS")]
+        """Current sums of every group: the totals kept last and the batches committed since. Groups that are back at nothing are left out."""
+        base, held, _ = self._base()
+        found = base + [self._folder(b) for b in self._records("batch") if b not in held]
         kinds = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_bytes bigint"
-        rows = self.spark.read.schema(kinds).parquet(*done) if done else self.spark.createDataFrame([], kinds)
+        rows = self.spark.read.schema(kinds).parquet(*found) if found else self.spark.createDataFrame([], kinds)
         return rows.groupBy(*GROUP).agg(*_sums()).where(" or ".join(f"{m} <> 0" for m in MEASURES))
 
+    def compact(self) -> None:
+        """Keep the totals as of now, so that later reads begin with them: cost follows the batches since, not all there ever were."""
+        base, held, number = self._base()
+        batches = self._records("batch")
+        if set(batches) == held:
+            return
+        folder = f"{self.root.rstrip('/')}/total={number + 1:08d}-{uuid.uuid4().hex}"
+        self.totals().write.parquet(folder)
+        fs.write_text_once(self.spark, self._record(f"total-{number + 1:08d}"), json.dumps({"folder": folder, "batches": batches}))
+
 
 def counts_after_cleaning(docs: DataFrame, rollup: Rollup, tokenizer: str = WORD_BPE) -> DataFrame:
     """The life of a corpus in three commits: every document is inserted; documents with repeated lines are
@@ -125,4 +149,5 @@ def counts_after_cleaning(docs: DataFrame, rollup: Rollup, tokenizer: str = WORD
     )
     for _ in range(2):
         rollup.commit("drop-copies", signed(gone, -1))
+    rollup.compact()
     return rollup.totals()

@@ -120,6 +120,42 @@ def test_token_counts(spark, sample):
     assert rollup.commit("c", token_counts.signed(counts.where("doc_id >= 100"), -1)) and rollup.totals().collect() == []
 
 
+def test_commits_do_not_depend_on_success_markers_and_totals_are_kept(spark):
+    rows = spark.createDataFrame([("s", "en", "t", 1, 10, 100), (None, None, "t", 1, 5, 50)], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_bytes bigint")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rollup = token_counts.Rollup(spark, shared_folder(spark, "rollup"))
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        assert rollup.commit("a", rows) and not rollup.commit("a", rows) and rollup.committed("a")
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    rows.write.parquet(rollup._folder("died"))  # an attempt that was never recorded
+    assert sorted(map(tuple, rollup.totals().collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    rollup.compact()
+    rollup.compact()
+    assert rollup.commit("b", token_counts.signed(rows.where("source = 's'"), -1)) and not rollup.commit("a", rows)
+    assert len(rollup.totals().inputFiles()) > 0 and not any("batch=a" in f for f in rollup.totals().inputFiles())
+    assert [tuple(r) for r in rollup.totals().collect()] == [(None, None, "t", 1, 5, 50)]
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [(None, None, "t", 1, 5, 50)]
+    assert not any("batch=" in f for f in rollup.totals().inputFiles())
+
+
+def test_the_life_of_a_corpus_equals_plain_counts(spark):
+    """The query's groups against counting each kept document once."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = token_counts.counts_after_cleaning(docs, token_counts.Rollup(spark, shared_folder(spark, "rollup")))
+    kept, want = {}, collections.Counter()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        kept.setdefault("\n".join(dict.fromkeys((r.text or "").split("\n"))), r)
+    for folded, r in kept.items():
+        for k, n in enumerate((1, len(tokenizer.encode(folded, add_special_tokens=False).ids), len(folded.encode()))):
+            want[r.source, r.lang, k] += n
+    got = {(r.source, r.lang, k): n for r in found.collect() for k, n in enumerate((r.n_docs, r.n_tokens, r.n_bytes))}
+    assert got == dict(want)
+
+
 def test_decontamination(sample):
     items = {1: None, 2: None}
     for r in sample["benchmark"].collect():
