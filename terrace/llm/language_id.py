@@ -7,7 +7,8 @@ documents (``max_documents`` of each language, by a hash of the id); the expecta
 returns to the driver is one number for each piece and language.
 
 A word is a run of letters, digits and non-ASCII characters (A-Z lowered); words without a letter say nothing.
-Words are cut at 24 characters, so that no probability underflows. Distinct words are scored once and kept.
+Words are whole, however long: sums are rescaled on the way, so that none underflows, and scoring goes through a long
+word in stretches that hand on the sums of their last places. Distinct words are scored once and kept.
 """
 
 from __future__ import annotations
@@ -25,13 +26,19 @@ from terrace.llm.words import ALNUM, mixed, words
 
 PIECES = "piece_bpe_32k.model"
 FOLDS, HELD = 4, 2
-LONGEST = 24  #: characters of a word scored at a time
+LONGEST = 24  #: characters of a piece; the vocabulary's longer ones are left out
+RESCALED = 8  #: places between two rescalings: (least probability) ** (RESCALED + LONGEST) is still a number
 MAX_DOCUMENTS = 3_000
+#: Longer words of the sample are scored, but not learned from.
+LEARNED_CHARACTERS = 65_536
 ROUNDS = 3
 #: Of a character that no piece covers, in every language.
 UNKNOWN = 1e-7
 KEPT_WORDS = 300_000
-_BLOCK = 16_384
+KEPT_CHARACTERS = 8_000_000
+#: Words times places handled at a time, and places of one word.
+_CELLS = 1 << 18
+_STRETCH = 1 << 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,55 +93,108 @@ def powers(n: int) -> np.ndarray:
 
 
 class Lattice:
-    """All pieces in some words: for each start and length, the words that have one there and which it is."""
+    """All pieces in some strings: for each place, the strings and pieces that start there, and where those end."""
 
     def __init__(self, vocabulary: Vocabulary, some: list[str]):
-        marked = [f"▁{w}" for w in some]
-        self.lengths = np.array([len(w) for w in marked], np.int64)
-        self.width = int(self.lengths.max()) if len(marked) else 0
-        chars = np.array(marked, dtype=f"U{max(1, self.width)}").view(np.uint32).reshape(len(marked), -1)
-        sums, power = prefix_hashes(chars), powers(self.width)
+        self.lengths = np.array([len(w) for w in some], np.int64)
+        self.width = int(self.lengths.max()) if len(some) else 0
+        self.longest = vocabulary.longest
+        chars = np.array(some, dtype=f"U{max(1, self.width)}").view(np.uint32).reshape(len(some), -1)
+        sums, power = prefix_hashes(chars), powers(self.longest)
         unknown = len(vocabulary.pieces)
-        self.arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        found = []
         with np.errstate(over="ignore"):
-            for i in range(self.width):
-                for n in range(1, min(vocabulary.longest, self.width - i) + 1):
-                    rows = np.nonzero(self.lengths >= i + n)[0]
-                    if not len(rows):
-                        break
-                    key = mixed(sums[rows, i + n] - sums[rows, i] * power[n] + np.uint64(n))
-                    piece = vocabulary.find(key)
-                    if n == 1:
-                        piece = np.where(piece < 0, unknown, piece)
-                    hit = piece >= 0
-                    if hit.any():
-                        self.arcs.append((i, n, rows[hit], piece[hit]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[j, word, language]; ``p`` has a last row for the unknown character."""
-        alpha = np.zeros((self.width + 1, len(self.lengths), p.shape[1]))
-        alpha[0] = 1
-        for i, n, rows, piece in self.arcs:
-            alpha[i + n, rows] += alpha[i, rows] * p[piece]
-        return alpha
-
-    def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[self.lengths, np.arange(len(self.lengths))]
+            for n in range(1, min(self.longest, self.width) + 1):
+                row, start = np.nonzero(np.arange(n, self.width + 1) <= self.lengths[:, None])
+                key = mixed(sums[row, start + n] - sums[row, start] * power[n] + np.uint64(n))
+                piece = vocabulary.find(key)
+                if n == 1:
+                    piece = np.where(piece < 0, unknown, piece)
+                hit = piece >= 0
+                found.append(np.stack((start[hit], start[hit] + n, row[hit], piece[hit])).astype(np.int32))
+        arcs = np.concatenate(found, 1) if found else np.empty((4, 0), np.int32)
+        self.starts, self.ends, self.rows, self.pieces = arcs[:, np.argsort(arcs[0], kind="stable")]
+        self.borders = np.searchsorted(self.starts, np.arange(self.width + 2))
+
+    def forward(self, p: np.ndarray, first: np.ndarray | None = None, until: int | None = None):
+        """(alpha[place, string, language], log of what alpha was divided by, {place: divisor}); ``p`` has a last row for
+        the unknown character. At every RESCALED-th place, it and those ahead are divided by their greatest; each
+        segmentation passes each of these places once. ``first``: alpha of the first places; ``until``: the place to stop at."""
+        alpha = np.zeros((self.width + self.longest + 1, len(self.lengths), p.shape[1]))
+        alpha[: 1 if first is None else len(first)] = 1 if first is None else first
+        log, divisors = np.zeros(alpha.shape[1:]), {}
+        for i in range(self.width if until is None else until):
+            if i % RESCALED == 0 and i:
+                ahead = alpha[i : i + self.longest]
+                most = ahead.max(0)
+                most[most == 0] = 1
+                ahead /= most
+                log += np.log(most)
+                divisors[i] = most
+            at = slice(self.borders[i], self.borders[i + 1])
+            rows = self.rows[at]
+            alpha[self.ends[at], rows] += alpha[i, rows] * p[self.pieces[at]]  # an end and a string meet once
+        return alpha, log, divisors
+
+    def log_totals(self, p: np.ndarray) -> np.ndarray:
+        alpha, log, _ = self.forward(p)
+        return np.log(alpha[self.lengths, np.arange(len(self.lengths))]) + log
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected pieces under the current probabilities; ``weight``: count of each word in each language."""
-        alpha = self.forward(p)
+        """Expected pieces under the current probabilities; ``weight``: count of each string in each language."""
+        alpha, _, divisors = self.forward(p)
         every = np.arange(len(self.lengths))
         beta = np.zeros_like(alpha)
         beta[self.lengths, every] = weight / alpha[self.lengths, every]
         out = np.zeros_like(p)
-        for i, n, rows, piece in reversed(self.arcs):
-            through = p[piece] * beta[i + n, rows]
-            beta[i, rows] += through
-            np.add.at(out, piece, alpha[i, rows] * through)
+        for i in range(self.width - 1, -1, -1):
+            at = slice(self.borders[i], self.borders[i + 1])
+            rows, pieces = self.rows[at], self.pieces[at]
+            through = p[pieces] * beta[self.ends[at], rows]
+            np.add.at(beta[i], rows, through)
+            np.add.at(out, pieces, alpha[i, rows] * through)
+            if i in divisors:  # from here on, all comes from before this place
+                beta[i : i + self.longest] /= divisors[i]
         return out
 
 
+def blocks(some: list[str]):
+    """Places of the strings, of like lengths together, _CELLS or one string at a time."""
+    order = sorted(range(len(some)), key=lambda i: len(some[i]))
+    first = 0
+    for k, at in enumerate(order):
+        if k > first and (k - first + 1) * (len(some[at]) + 1) > _CELLS:
+            yield order[first:k]
+            first = k
+    if order:
+        yield order[first:]
+
+
+def log_totals(vocabulary: Vocabulary, some: list[str], p: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations, of each string in each language."""
+    out = np.zeros((len(some), p.shape[1]))
+    for at in blocks(some):
+        if len(some[at[-1]]) <= _STRETCH:
+            out[at] = Lattice(vocabulary, [some[i] for i in at]).log_totals(p)
+            continue
+        for i in at:
+            out[i] = _long_total(vocabulary, some[i], p)
+    return out
+
+
+def _long_total(vocabulary: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
+    ahead = np.ones((1, 1, p.shape[1]))
+    total = np.zeros(p.shape[1])
+    for first in range(0, len(word), _STRETCH):
+        stretch = word[first : first + _STRETCH + vocabulary.longest]
+        places = min(_STRETCH, len(word) - first)
+        alpha, log, _ = Lattice(vocabulary, [stretch]).forward(p, ahead, places)
+        ahead = alpha[places : places + vocabulary.longest]
+        most = ahead.max(0)
+        ahead, total = ahead / most, total + log[0] + np.log(most[0])
+    return total + np.log(ahead[0, 0])
+
+
 @lru_cache(maxsize=2)
 def vocabulary(name: str = PIECES) -> Vocabulary:
     import public_tokenizers
@@ -142,13 +202,9 @@ def vocabulary(name: str = PIECES) -> Vocabulary:
     return Vocabulary(public_tokenizers.path(name))
 
 
-def spoken(distinct: list[str]) -> list[list[str]]:
-    """Each word lowered and in parts of LONGEST characters; none if it has no letter."""
-    out = []
-    for w in distinct:
-        w = w.lower()
-        out.append([w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] if any(map(str.isalpha, w)) else [])
-    return out
+def spoken(distinct: list[str]) -> list[str]:
+    """Each word lowered and marked as one; empty if it has no letter."""
+    return [f"▁{w.lower()}" if any(map(str.isalpha, w)) else "" for w in distinct]
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -167,7 +223,8 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_documents: int = MAX_DOCUMENTS,
         rounds: int = ROUNDS) -> Model:
-    """Learn from documents with a language, outside the held-out fold."""
+    """Learn from documents with a language, outside the held-out fold: of each language at most about ``max_documents``,
+    of them the words of at most LEARNED_CHARACTERS."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
     sizes = {r[lang]: r["count"] for r in usable.groupBy(lang).count().collect()}  # one row for each language
     languages = sorted(sizes)
@@ -182,10 +239,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         for batch in slices(batches, "_text"):
             of = batch.column("lang").to_numpy()
             codes, counts, distinct = words(batch.column("_text"), ALNUM)
-            parts = spoken(distinct.to_pylist())
+            known = spoken(distinct.to_pylist())
             pairs, n = np.unique(np.repeat(of, counts) * max(1, len(distinct)) + codes, return_counts=True)
             langs, code = np.divmod(pairs, max(1, len(distinct)))
-            rows = [(int(l), w, int(k)) for l, c, k in zip(langs, code, n) for w in parts[c]]
+            rows = [(int(l), known[c], int(k)) for l, c, k in zip(langs, code, n) if 0 < len(known[c]) <= LEARNED_CHARACTERS]
             columns = zip(*rows) if rows else ([], [], [])
             kinds = (pa.int32(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "w", "n"])
@@ -201,8 +258,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             total = np.zeros_like(shared.value)
             for batch in batches:
                 some, n = batch.column("w").to_pylist(), np.array(batch.column("n").to_pylist(), float).reshape(batch.num_rows, -1)
-                for k in range(0, len(some), _BLOCK):
-                    total += Lattice(vocabulary(), some[k : k + _BLOCK]).expected(shared.value, n[k : k + _BLOCK])
+                for at in blocks(some):
+                    total += Lattice(vocabulary(), [some[i] for i in at]).expected(shared.value, n[at])
             piece, of = np.nonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(of), pa.array(total[piece, of])], names=["piece", "lang", "n"])
 
@@ -221,24 +278,22 @@ class Scorer:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         self.logs = np.empty((0, self.p.shape[1]), np.float32)
         self.letters = np.empty(0, bool)
 
     def places(self, distinct: list[str]) -> np.ndarray:
-        if len(self.place) > KEPT_WORDS:
+        if len(self.place) > KEPT_WORDS or self.held > KEPT_CHARACTERS:
             self._forget()
         new = [w for w in distinct if w not in self.place]
-        parts = spoken(new)
-        flat = [part for some in parts for part in some]
+        known = spoken(new)
+        said = [k for k, w in enumerate(known) if w]
         logs = np.zeros((len(new), self.p.shape[1]))
-        owner = np.repeat(np.arange(len(new)), [len(some) for some in parts])
-        order = np.argsort([len(w) for w in flat], kind="stable")  # words of one length together
-        for k in range(0, len(flat), _BLOCK):
-            at = order[k : k + _BLOCK]
-            np.add.at(logs, owner[at], np.log(Lattice(vocabulary(), [flat[i] for i in at]).totals(self.p)))
+        logs[said] = log_totals(vocabulary(), [known[k] for k in said], self.p)
+        self.held += sum(map(len, new))
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.logs = np.concatenate((self.logs, logs.astype(np.float32)))
-        self.letters = np.concatenate((self.letters, np.array([bool(some) for some in parts], bool)))
+        self.letters = np.concatenate((self.letters, np.array([bool(w) for w in known], bool)))
         return np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +312,8 @@ _scorers: dict[str, Scorer] = {}
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, held_out, lang_pred, score of every row, from the text alone. ``und`` with score 0 where the text is
     null or has no letter, or where nothing was learned. score: the language's share of the probability of all
-    learned languages. Repeated rows are scored alike; an empty table gives an empty result."""
+    learned languages. Words of any length and very long texts are scored whole. Null keys and repeated rows are scored like
+    others; an empty table gives an empty result; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model.p)
     languages = np.array([*model.languages, "und"], dtype=object)
 

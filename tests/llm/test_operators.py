@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -252,7 +254,47 @@ def test_forward_algorithm_sums_all_segmentations():
         return total
 
     some = ["the", "wörter", "zzq☃", "another"]
-    assert np.allclose(language_id.Lattice(vocabulary, some).totals(p), [every(f"▁{w}") for w in some], rtol=1e-9)
+    marked = language_id.spoken(some)
+    assert np.allclose(language_id.log_totals(vocabulary, marked, p), np.log([every(w) for w in marked]), rtol=1e-9)
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    """Sums and expected pieces of words of any length, against plain sums in whole fractions."""
+    vocabulary = language_id.vocabulary()
+    p = language_id._probabilities(np.random.default_rng(2).random((len(vocabulary.pieces), 2)) ** 8 * 1000)
+    known = {piece: i for i, piece in enumerate(vocabulary.pieces)}
+    exact = [[Fraction(x) for x in row] for row in p]
+    some = language_id.spoken(["the", "internationalization" * 3, "ज्ञान☃" * 12, "x" * 70, "another"])
+
+    def places(word):
+        for i in range(len(word)):
+            for n in range(1, min(vocabulary.longest, len(word) - i) + 1):
+                piece = known.get(word[i : i + n], len(known) if n == 1 else None)
+                if piece is not None:
+                    yield i, i + n, piece
+
+    expected, logs = np.zeros_like(p), []
+    for word in some:
+        logs.append([])
+        for lang in range(2):
+            before, after = [Fraction(int(i == 0)) for i in range(len(word) + 1)], [Fraction(int(i == len(word))) for i in range(len(word) + 1)]
+            arcs = list(places(word))
+            for i, j, piece in arcs:
+                before[j] += before[i] * exact[piece][lang]
+            for i, j, piece in reversed(arcs):
+                after[i] += after[j] * exact[piece][lang]
+            for i, j, piece in arcs:
+                expected[piece, lang] += 3 * float(before[i] * exact[piece][lang] * after[j] / before[-1])
+            logs[-1].append(math.log(before[-1].numerator) - math.log(before[-1].denominator))
+    assert min(map(min, logs)) < -500
+    got = language_id.Lattice(vocabulary, some)
+    assert np.allclose(got.log_totals(p), logs, rtol=1e-9)
+    assert np.allclose(got.expected(p, np.full((len(some), 2), 3.0)), expected, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(language_id, "_STRETCH", 24)
+    monkeypatch.setattr(language_id, "_CELLS", 1)
+    assert np.allclose(language_id.log_totals(vocabulary, some, p), logs, rtol=1e-9)
+    endless = language_id.log_totals(vocabulary, ["▁" + "word" * 20_000], p)
+    assert np.isfinite(endless).all() and (endless < -10_000).all()
 
 
 def test_toxicity(sample):
