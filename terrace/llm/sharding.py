@@ -8,6 +8,9 @@ shard ends full and counts differ by one at most (law ``rows``).
 Only the number of rows of each arc is needed to decide this, so the walk runs over a table of fixed size
 (shards x virtual nodes), whatever the input. Rows are ranked inside their arc by (hash, id) and look up the
 segment of ranks that they fall into. Keys are ids, not texts: copies of one text spread like all other rows.
+
+An arc that far outgrows the others holds a key which many rows share (null ids, say). Its rows are dealt by lot into
+parts, each part is ranked by itself, and the counts of the parts before it are added.
 """
 
 from __future__ import annotations
@@ -19,8 +22,13 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.llm.shared import stored
+
 SHARDS = 24
 VIRTUAL_NODES = 256
+#: Rows of an arc, in arcs of average size and at least a number, from which on it is ranked in parts of as many.
+HOT_ARC = 16
+LEAST_PART = 10_000
 
 
 def ring(shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -75,31 +83,40 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     """``key``, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot, grown_shard of every row.
 
     Null text counts as empty; null keys hash alike and are ranked like ties; repeated rows are kept as rows
-    of their own; an empty table gives an empty result; other columns are ignored.
+    of their own, whatever their number; an empty table gives an empty result; other columns are ignored.
     """
     points = ring(shards, virtual_nodes)
-    place = F.xxhash64(F.col(key))
-    arcs = df.select(arc_of(place, points).alias("arc")).groupBy("arc").count()
-    counts = {r["arc"]: r["count"] for r in arcs.collect()}  # at most shards x virtual_nodes rows
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(
-        F.col(key),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        place.alias("_place"),
-        arc_of(place, points).alias("_arc"),
+    rows = stored(
+        df.select(
+            F.col(key),
+            (F.octet_length(body) + 8).cast("long").alias("size"),
+            F.crc32(body).alias("text_crc32"),
+            F.xxhash64(F.col(key)).alias("_place"),
+            F.floor(F.rand(7) * (1 << 30)).cast("int").alias("_lot"),  # written, so a lost task changes none
+        ).withColumn("_arc", arc_of(F.col("_place"), points)),
+        "sharding",
     )
-    within = Window.partitionBy("_arc").orderBy("_place", key, "text_crc32", "size")
-    ranked = rows.withColumn("_rank", (F.row_number().over(within) - 1).cast("long"))
+    counts = {r["_arc"]: r["count"] for r in rows.groupBy("_arc").count().collect()}  # at most shards x virtual_nodes rows
+    part_rows = max(LEAST_PART, HOT_ARC * sum(counts.values()) // len(points))
     by_arc: dict[int, list] = {}
     for arc, first, end, owner, slot in walk(counts, points, shards):
         by_arc.setdefault(arc, []).append({"e": end, "s": owner, "o": slot - first})
     plan = df.sparkSession.sql(
         "SELECT inline(from_json('"
-        + json.dumps([{"a": a, "p": p} for a, p in by_arc.items()])
-        + "', 'array<struct<a:int,p:array<struct<e:bigint,s:int,o:bigint>>>>'))"
+        + json.dumps([{"a": a, "k": -(-counts[a] // part_rows), "p": p} for a, p in by_arc.items()])
+        + "', 'array<struct<a:int,k:int,p:array<struct<e:bigint,s:int,o:bigint>>>>'))"
     )
-    placed = ranked.join(F.broadcast(plan), ranked["_arc"] == plan["a"])  # one row for each point at most
+    planned = rows.join(F.broadcast(plan), rows["_arc"] == plan["a"])  # one row for each point at most
+    dealt = planned.withColumn("_part", F.pmod("_lot", "k"))
+    before = Window.partitionBy("_of").orderBy("_nr").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.where("k > 1").groupBy(F.col("_arc").alias("_of"), F.col("_part").alias("_nr")).count()
+    # parts of hot arcs only: no more than points / HOT_ARC of them, and one for each hot arc
+    offsets = sizes.select("_of", "_nr", F.sum("count").over(before).alias("_before"))
+    within = Window.partitionBy("_arc", "_part").orderBy("_place", key, "text_crc32", "size")
+    ranked = dealt.withColumn("_row", F.row_number().over(within) - 1)
+    met = ranked.join(F.broadcast(offsets), (F.col("_arc") == F.col("_of")) & (F.col("_part") == F.col("_nr")), "left")
+    placed = met.withColumn("_rank", F.col("_row") + F.coalesce("_before", F.lit(0)))
     piece = F.get(F.filter("p", lambda s: s["e"] > F.col("_rank")), F.lit(0))
     return placed.withColumn("_piece", piece).select(
         key,
