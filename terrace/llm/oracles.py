@@ -12,7 +12,55 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ord(c) as bigint))),
         lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))))"""
 
+#: Marks that lines may end in and letters without spaces, as op10 has them.
+_ENDS = r"""regexp_matches(last, '[.!?:;"'')\]}]') or (regexp_matches(last, '[\p{Pe}\p{Pf}\p{Pi}\p{Po}]')
+        and not regexp_matches(last, '[\x00-\x7F،、，﹐﹑､·•‣․‥‧‰‱†‡※§¶⁂⁎⁑＃％＆＊＠／＼]'))"""
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+
 ORACLES = {
+    "op10_quality_rules": rf"""
+with split as (
+    select doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+windows as (
+    select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i : i + 2], ' ')) as times
+    from split, unnest(range(1, len(w) - 1)) as u(i)
+),
+repeated as (select doc_id, count(distinct i + k) as n from windows, unnest([0, 1, 2]) as u(k) where times > 1 group by doc_id),
+lines as (
+    select doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w, right(rtrim(line, ' '), 1) as last, lower(line) as low
+    from split, unnest(string_split(body, chr(10))) as u(line)
+),
+measured as (
+    select doc_id, line, len(w) as n, len(w) + len(array_to_string(regexp_extract_all(line, '{_UNSPACED}'), '')) / 4 >= 12 as filled,
+        {_ENDS} as ended, strlen(line) > length(line) as beyond_ascii,
+        len(list_filter(w, lambda x: x in ('|', '>', '»', '•', '·', '/'))) as lone,
+        len(list_filter(w, lambda x: regexp_matches(x, '[!?][!?]$'))) as shouted,
+        len(regexp_extract_all(line, '[#*$%&<>]')) as symbols,
+        regexp_matches(low, 'all rights reserved|terms of service|terms of use|privacy policy|cookie policy|use cookies|uses cookies'
+            '|accept cookies|enable javascript|javascript is disabled|lorem ipsum|sign up for|subscribe to our|newsletter|click here'
+            '|read more|share this|follow us|log in|powered by') as page
+    from lines where len(w) > 0
+),
+ruled as (
+    select *, (n < 12 and not ended and not (beyond_ascii and filled)) or (lone > 0 and lone > 0.2 * n) or (shouted > 0 and shouted > 0.5 * n)
+        or (symbols > 0 and symbols > 0.3 * n) or (n <= 40 and page) as fails
+    from measured
+),
+by_document as (
+    select doc_id, count(*) - count(distinct line) as n_dup_lines, coalesce(sum(n) filter (fails), 0) as lost from ruled group by doc_id
+),
+base as (
+    select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+        len(regexp_extract_all(body, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+        coalesce(repeated.n, 0) as n_repeat_words, len(w) < 50 or 100 * coalesce(repeated.n, 0) > 50 * len(w) as base_failed,
+        cast(coalesce(lost, 0) as bigint) as n_lost_words
+    from split left join repeated using (doc_id) left join by_document using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and n_lost_words <= 0.5 * n_words as kept, n_lost_words
+from base
+""",
     "op6_warc": rf"""
 with sized as (
     select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as sha from pages

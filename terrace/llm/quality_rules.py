@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Marks other than ASCII that a line of prose may end in, by Unicode class: closing and quoting ones, and other
+#: punctuation (sentence ends of all scripts are of that class) but commas, bullets, and reference, unit and text marks.
+ENDS_BEYOND_ASCII = r"[\p{Pe}\p{Pf}\p{Pi}\p{Po}&&[^\x00-\x7F،、，﹐﹑､·•‣․‥‧‰‱†‡※§¶⁂⁎⁑＃％＆＊＠／＼]]"
+#: Letters of scripts that set no spaces between words.
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]+"
 #: Phrases of pages rather than of texts (lower case).
 BOILERPLATE = (
     "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "use cookies",
@@ -25,8 +30,9 @@ BOILERPLATE = (
 class LineRules:
     """A line with words fails if one of these holds; a line without words is neutral and goes with them."""
 
-    ends: str = ".!?…:;\"'”’»)]}"  #: marks a line of prose may end in
+    ends: str = ".!?…:;\"'”’»)]}"  #: marks a line of prose may end in, besides ENDS_BEYOND_ASCII
     min_unended_words: int = 12  #: shorter lines without such an end are headings or menu entries
+    unspaced_letters: int = 4  #: letters of an unspaced script that count as a word there
     max_separators_per_word: float = 0.2  #: of | > » • · / standing alone: navigation
     max_shouted_words: float = 0.5  #: share of words that end in !! or consist of the same mark repeated
     max_symbols_per_word: float = 0.3
@@ -72,12 +78,15 @@ def words_in_doubles(windows: Column) -> Column:
 
 def line_fails(line: Column, n_words: Column, rules: LineRules) -> Column:
     """Cheap tests come first: a count is taken only of lines that have such a mark at all."""
-    ended = F.right(F.rtrim(line), F.lit(1)).isin(*rules.ends)
+    last = F.right(F.rtrim(line), F.lit(1))
+    ended = last.isin(*rules.ends) | ((last > "\x7f") & last.rlike(ENDS_BEYOND_ASCII))
+    unspaced = F.length(F.regexp_replace(line, UNSPACED, ""))
+    long_enough = (F.octet_length(line) > F.length(line)) & (n_words + unspaced / rules.unspaced_letters >= rules.min_unended_words)
     lone = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|>»•·/](?![^\x20\x09-\x0D])"))
     shouted = F.regexp_count(line, F.lit(r"[!?]{2,}(?![^\x20\x09-\x0D])"))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&<>]"))
     return (
-        ((n_words < rules.min_unended_words) & ~ended)
+        ((n_words < rules.min_unended_words) & ~ended & ~long_enough)
         | (line.rlike(r"[|>»•·/]") & (lone > rules.max_separators_per_word * n_words))
         | ((line.contains("!!") | line.contains("??")) & (shouted > rules.max_shouted_words * n_words))
         | (line.rlike(r"[#*$%&<>]") & (symbols > rules.max_symbols_per_word * n_words))

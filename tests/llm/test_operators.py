@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrace.llm import (
@@ -223,6 +224,30 @@ def test_sharding(spark, sample):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 7
 
 
+def test_hot_keys_are_ranked_in_parts(spark, monkeypatch):
+    """A third of the rows has a null id and one text, a tenth one id; every slot is still taken once."""
+    monkeypatch.setattr(sharding, "LEAST_PART", 50)
+    monkeypatch.setattr(sharding, "HOT_ARC", 4)
+    ids = [*[None] * 1000, *[7] * 300, *range(100, 1800)]
+    docs = spark.createDataFrame([(i, "same" if i is None else str(i)) for i in ids], "doc_id long, text string")
+    found = sharding.shard(docs.repartition(5), shards=5, virtual_nodes=16)
+    rows = found.collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(ids)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(600)) for s in slots.values()) and len(slots) == 5
+
+
+def test_a_new_shard_moves_few_keys(spark):
+    """Law rows has no slack, so some keys also move between old shards; few do."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=n).collect()} for n in (24, 25))
+    moved = sum(before[i] != after[i] for i in before)
+    between_old = sum(before[i] != after[i] != 24 for i in before)
+    assert moved < 0.08 * len(before) and between_old < 0.04 * len(before)
+
+
 def test_ring_walk_keeps_keys_at_their_own_shard_while_it_has_room():
     points = sharding.ring(3, 4)
     segments = sharding.walk({0: 5, 3: 100, 7: 6}, points, 3)
@@ -412,18 +437,38 @@ def test_second_round_finds_a_chain(spark):
 
 
 def test_quality_rules(sample, awkward):
-    for r in quality_rules.judged(awkward.where("doc_id < 8")).collect() + quality_rules.judged(sample["docs"]).collect():
-        text = sample["texts"].get(r["doc_id"]) if r["doc_id"] > 8 else None
-        if text is None:
-            continue
+    """Base measures of every row, those of the awkward table too, by value."""
+
+    def measured(key, text):
         w = white_words(text)
         seen, covered = collections.defaultdict(list), set()
         for i in range(len(w) - 2):
             seen[tuple(w[i : i + 3])].append(i)
         for at in seen.values():
             covered |= {i + k for i in at for k in range(3) if len(at) > 1}
-        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
-        assert r["kept"] == (not r["base_failed"])
+        lines = [x for x in (text or "").split("\n") if white_words(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        return key, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
+
+    for docs in (awkward, sample["docs"]):
+        found = quality_rules.judged(docs).collect()
+        assert collections.Counter(tuple(r[:7]) for r in found) == collections.Counter(measured(r["doc_id"], r["text"]) for r in docs.collect())
+        assert all(not r["kept"] or not r["base_failed"] and 2 * r["n_lost_words"] <= r["n_words"] for r in found)
+
+
+@pytest.mark.parametrize("line", ["यह {} एक छोटा वाक्य है।", "هل هذا {} سؤال قصير؟", "这 是 {} 一个 短 句子。", "это {} короткое предложение.", "dies ist {} „ein Satz“"])
+def test_short_sentences_of_any_script_are_prose(spark, line):
+    prose, menu = ("\n".join(x.format(f"w{i}") for i in range(30)) for x in (line, line[:-1]))
+    docs = spark.createDataFrame([(1, prose), (2, menu)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_lost_words"], r["n_words"]) for r in quality_rules.judged(docs).collect()}
+    assert found[1][0] == 0 and found[2][0] == found[2][1]
+
+
+def test_scripts_without_spaces_are_measured_by_letters(spark):
+    """Words are what spaces separate, here half a sentence; Thai sets no sentence ends."""
+    text = "\n".join(f"นี่คือประโยคที่ค่อนข้างยาวในภาษาไทย ซึ่งไม่มีจุดจบของประโยค {i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r["kept"], r["n_lost_words"]) for r in quality_rules.judged(docs).collect()] == [(True, 0)]
 
 
 def test_quality_rules_drop_pages_of_menus_and_shouts(spark):
