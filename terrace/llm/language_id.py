@@ -37,7 +37,7 @@ UNKNOWN = 1e-7
 KEPT_WORDS = 300_000
 KEPT_CHARACTERS = 8_000_000
 #: Words times places handled at a time, and places of one word.
-_CELLS = 1 << 18
+_CELLS = 1 << 16
 _STRETCH = 1 << 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,7 +113,8 @@ class Lattice:
                 hit = piece >= 0
                 found.append(np.stack((start[hit], start[hit] + n, row[hit], piece[hit])).astype(np.int32))
         arcs = np.concatenate(found, 1) if found else np.empty((4, 0), np.int32)
-        self.starts, self.ends, self.rows, self.pieces = arcs[:, np.argsort(arcs[0], kind="stable")]
+        order = np.argsort(arcs[0] * np.int64(len(some)) + arcs[2], kind="stable")  # by place, then string
+        self.starts, self.ends, self.rows, self.pieces = arcs[:, order]
         self.borders = np.searchsorted(self.starts, np.arange(self.width + 2))
 
     def forward(self, p: np.ndarray, first: np.ndarray | None = None, until: int | None = None):
@@ -146,16 +147,18 @@ class Lattice:
         every = np.arange(len(self.lengths))
         beta = np.zeros_like(alpha)
         beta[self.lengths, every] = weight / alpha[self.lengths, every]
-        out = np.zeros_like(p)
+        times = np.zeros((len(self.pieces), p.shape[1]))
         for i in range(self.width - 1, -1, -1):
             at = slice(self.borders[i], self.borders[i + 1])
-            rows, pieces = self.rows[at], self.pieces[at]
-            through = p[pieces] * beta[self.ends[at], rows]
-            np.add.at(beta[i], rows, through)
-            np.add.at(out, pieces, alpha[i, rows] * through)
+            rows = self.rows[at]
+            through = p[self.pieces[at]] * beta[self.ends[at], rows]
+            firsts = np.nonzero(np.diff(rows, prepend=-1))[0]
+            if len(firsts):
+                beta[i, rows[firsts]] += np.add.reduceat(through, firsts)
+            times[at] = alpha[i, rows] * through
             if i in divisors:  # from here on, all comes from before this place
                 beta[i : i + self.longest] /= divisors[i]
-        return out
+        return np.stack([np.bincount(self.pieces, times[:, k], len(p)) for k in range(p.shape[1])], 1)
 
 
 def blocks(some: list[str]):
