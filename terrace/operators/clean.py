@@ -143,16 +143,16 @@ def refine(df: DataFrame, spec: TableSpec) -> DataFrame:
 def accepted(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows that pass every rule, one per key, with the derived columns.
 
-    Only the fields that rules and keys need are typed before the copies of a key meet; the others
-    are typed on the survivors, after the shuffle.
+    Passing rows are typed before the copies of a key meet: numbers and clock texts are shorter than their source texts, and
+    these rows are sorted, shuffled and sorted again. Derived columns, which would lengthen them, are added to the survivors.
     """
     stated = _stated(raw, spec)
     sources = [F.col(f"`{name}`") for name in _source_names(spec).values()]
     carried = _carried(stated, spec)
     passing = _decidable(stated, spec).filter(~any_failed(spec.rules))
-    order = [F.col(spec.arrival).desc(), *[F.col(t).asc() for t in carried], F.xxhash64(*sources).asc()]
-    latest = keep_latest(passing, spec.key, order)
-    return refine(_complete(latest, spec).select(*spec.names(), spec.arrival), spec)
+    typed = _complete(passing, spec).select(*spec.names(), spec.arrival, *carried, F.xxhash64(*sources).alias("_row_hash"))
+    order = [F.col(spec.arrival).desc(), *[F.col(t).asc() for t in carried], F.col("_row_hash").asc()]
+    return refine(keep_latest(typed, spec.key, order).select(*spec.names(), spec.arrival), spec)
 
 
 def rejected(raw: DataFrame, spec: TableSpec) -> DataFrame:

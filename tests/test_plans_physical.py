@@ -76,3 +76,10 @@ def test_orphan_check_scans_the_fact_once(silver):
 def test_filters_reach_the_stored_fact(silver):
     fact = materialize(model.fact_flights(silver), "fact").filter("date_key = 20230821 and carrier_code = 'AS'")
     assert "EqualTo(date_key,20230821)" in plan(fact) and "EqualTo(carrier_code,AS)" in plan(fact)
+
+
+def test_copies_meet_as_typed_rows(flights):
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan(accepted(flights(), FLIGHTS)))
+    (columns,) = [{c.split("#")[0].strip() for c in row.split(",")} for row in shuffled]
+    assert {"arr_time", "dep_delay_min", "distance_miles"} <= columns
+    assert not {"DepDelay", "ArrTime", "CRSArrTime", "WeatherDelay"} & columns
