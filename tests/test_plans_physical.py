@@ -10,6 +10,8 @@ from terrace.lake import materialize
 from terrace.operators import quality
 from terrace.operators.clean import accepted, rejected
 from terrace.streaming import events as ev
+from tests.conftest import SF_SMALL
+from verification import queries
 
 
 def plan(df):
@@ -83,3 +85,27 @@ def test_copies_meet_as_typed_rows(flights):
     (columns,) = [{c.split("#")[0].strip() for c in row.split(",")} for row in shuffled]
     assert {"arr_time", "dep_delay_min", "distance_miles"} <= columns
     assert not {"DepDelay", "ArrTime", "CRSArrTime", "WeatherDelay"} & columns
+
+
+def test_a_fact_carries_silver_columns_that_are_asked_for(silver):
+    fact = model.fact_flights(silver, keep=["origin_city"])
+    assert fact.columns == [*model.fact_flights(silver).columns, "origin_city"]
+    assert fact.select("origin_city").distinct().first()[0] == "Boise, ID"
+
+
+def written(monkeypatch, spark, name):
+    """The columns of what a query writes in between."""
+    found = {}
+
+    def noting(df, purpose):
+        found[purpose] = df.columns
+        return materialize(df, purpose)
+
+    monkeypatch.setattr(queries, "materialize", noting)
+    queries.registered()[name](spark, SF_SMALL)
+    return found
+
+
+def test_queries_write_only_the_columns_they_use(spark, monkeypatch):
+    (ends,) = written(monkeypatch, spark, "role_playing_join").values()
+    assert set(ends) == {f"{end}_{c}" for end in ("origin", "dest") for c in ("airport_code", "city", "state")}
