@@ -19,6 +19,9 @@ from terrace.spec import Measure
 
 TILE = ("date_key", "carrier_code", "origin_airport_code", "crs_dep_hour")
 
+#: The fact columns that ``flight_rows`` reads.
+ROW_COLUMNS = (*TILE, "is_cancelled", "is_arr_delayed_15", "arr_delay_min")
+
 TILE_MEASURES = (
     Measure("flights", "count(*)"),
     Measure("cancelled", "count_if(is_cancelled)"),

@@ -109,3 +109,5 @@ def written(monkeypatch, spark, name):
 def test_queries_write_only_the_columns_they_use(spark, monkeypatch):
     (ends,) = written(monkeypatch, spark, "role_playing_join").values()
     assert set(ends) == {f"{end}_{c}" for end in ("origin", "dest") for c in ("airport_code", "city", "state")}
+    (rows,) = written(monkeypatch, spark, "dashboard_rows").values()
+    assert rows == list(dashboard.ROW_COLUMNS)
