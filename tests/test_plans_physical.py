@@ -111,3 +111,4 @@ def test_queries_write_only_the_columns_they_use(spark, monkeypatch):
     assert set(ends) == {f"{end}_{c}" for end in ("origin", "dest") for c in ("airport_code", "city", "state")}
     (rows,) = written(monkeypatch, spark, "dashboard_rows").values()
     assert rows == list(dashboard.ROW_COLUMNS)
+    assert written(monkeypatch, spark, "incremental_rollup") == {}  # silver is written by its snapshot table alone
