@@ -125,8 +125,7 @@ def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
         held = np.zeros(1 << CELL_BITS, np.int64)
         for batch in slices(batches, "_text"):
             codes, _, distinct = words(batch.column("_text"), WHITE)
-            times = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(len(distinct))
-            held += np.bincount(cells(hashed(distinct)), times, len(held)).astype(np.int64)
+            np.add.at(held, cells(hashed(distinct)), np.bincount(codes, minlength=len(distinct)))
         for page in range(1 << (CELL_BITS - PAGE_BITS)):
             part = held[page << PAGE_BITS : (page + 1) << PAGE_BITS]
             at = np.nonzero(part)[0]
@@ -152,21 +151,27 @@ def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
     return out
 
 
-def prefixes(lines: Lines, level: np.ndarray, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines in a row: prefix tokens that more than one line may hold, their place in the order, whether
-    more than a block of lines may hold them; and how many each line has. The lines are ordered by ``level``."""
+def prefixes(lines: Lines, level: np.ndarray, how: Similarity, first: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of each line that is ``first`` (none of the others): how many tokens ahead no other line can hold; then the prefix tokens
+    that more than one line may hold; then those that more than a block of lines may hold. As lines are ordered by ``level``,
+    these three follow each other, so a token's place is known from its place in its list."""
     rank = level[cells(lines.tokens)]
-    place = np.arange(len(rank)) - np.repeat(lines.ends - lines.size, lines.size)
+    starts = lines.ends - lines.size
+    place = np.arange(len(rank)) - np.repeat(starts, lines.size)
     length = lines.size - -(-how.percent * lines.size // 100) + 1
-    length = np.where(lines.size < how.joined_from, 0, length)
-    kept = (place < np.repeat(length, lines.size)) & (rank > 1)
-    line = np.repeat(np.arange(len(lines.size)), lines.size)[kept]
-    often = rank[kept] >= min(255, int(8 * np.log2(how.block)))
-    return lines.tokens[kept], place[kept], often, np.bincount(line, minlength=len(lines.size))
+    length = np.where((lines.size < how.joined_from) | ~first, 0, length)
+    at = np.nonzero(place < np.repeat(length, lines.size))[0]
+    rank, line = rank[at], np.repeat(np.arange(len(length)), length)
+    hot = rank >= min(255, max(2, int(8 * np.log2(how.block))))
+
+    def lists(kept: np.ndarray) -> pa.Array:
+        ends = np.cumsum(np.bincount(line[kept], minlength=len(length)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(lines.tokens[at[kept]].view(np.int64)))
 
+    return np.bincount(line[rank <= 1], minlength=len(length)), lists((rank > 1) & ~hot), lists(hot)
 
-_PREFIX = "array<struct<token:bigint,place:int,often:boolean>>"
-_OCCURRENCE = f"doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, prefix {_PREFIX}"
+
+_OCCURRENCE = "doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, skipped int, few array<bigint>, often array<bigint>"
 
 
 def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) -> DataFrame:
@@ -177,22 +182,18 @@ def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) ->
         for batch in slices(batches, "_text"):
             lines = lines_of(batch.column("_text"), how.min_tokens, level=level.value)
             fp, (b0, b1) = fingerprints(lines), bitmaps(lines)
-            token, place, often, n = prefixes(lines, level.value, how)
             first = np.array([not (f in seen or seen.add(f)) for f in fp.tolist()], bool)
             if len(seen) > 1_000_000:
                 seen.clear()
-            held = np.repeat(first, n)
-            n = np.where(first, n, 0)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            members = [pa.array(token[held].view(np.int64)), pa.array(place[held].astype(np.int32)), pa.array(often[held])]
+            skipped, few, often = prefixes(lines, level.value, how, first)
             row = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key).take(row), batch.column("_hash").take(row), pa.array(lines.number.astype(np.int32)),
                     pa.array(fp), pa.array(lines.size.astype(np.int32)), pa.array(b0), pa.array(b1),
-                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(members, names=["token", "place", "often"])),
+                    pa.array(skipped.astype(np.int32)), few, often,
                 ],
-                names=[key, "doc_hash", "line", "fp", "size", "b0", "b1", "prefix"],
+                names=[key, "doc_hash", "line", "fp", "size", "b0", "b1", "skipped", "few", "often"],
             )
 
     rows = docs.select(key, F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
@@ -200,20 +201,34 @@ def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) ->
 
 
 def _groups(lines: DataFrame, how: Similarity) -> DataFrame:
-    """A row for each class and prefix token, dealt and sorted by the group (token, lo, hi)."""
-    rows = lines.where(F.size("prefix") > 0).select("fp", "size", "b0", "b1", F.col("prefix.token").alias("all"), F.posexplode("prefix"))
-    before = F.when(F.col("pos") > 0, F.col("all")[F.col("pos") - 1])  # the prefix token ahead of this one
-    rows = rows.select("col.token", "col.place", "col.often", "fp", "size", "b0", "b1", before.alias("before"))
-    often = rows.where("often")
-    large = often.select("token", "fp").distinct().groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > how.block)
+    """A row (``_ROW``) for each class and prefix token, dealt and sorted by the group (token, cut)."""
+
+    def rows(tokens: str, ahead, before) -> DataFrame:  # ``ahead``: of these tokens; ``before``: the prefix token ahead of this one
+        each = lines.where(F.size(tokens) > 0).select("fp", "size", "b0", "b1", "skipped", "few", "often", F.posexplode(tokens).alias("pos", "token"))
+        return each.select("token", (ahead + F.col("pos")).alias("place"), "size", before.alias("before"), "b0", "b1", "fp")
+
+    previous = F.col("pos") - 1
+    few = rows("few", F.col("skipped"), F.get("few", previous))
+    often = rows("often", F.col("skipped") + F.size("few"), F.coalesce(F.get("often", previous), F.get("few", F.size("few") - 1)))
+    large = lines.select("fp", F.explode("often").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > how.block)
     large = stored(large.select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "line-hot")
     none = F.lit(0)
-    small = rows.where("not often").unionByName(often.join(large, "token", "left_anti")).drop("often")
-    small = small.select("*", none.alias("own"), none.alias("lo"), none.alias("hi"))
+    small = few.unionByName(often.join(large, "token", "left_anti").select(*few.columns))
     split = often.join(large, "token").withColumn("own", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
-    split = split.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    return _dealt(small.unionByName(split.select(*small.columns)))
+    cut = F.shiftleft(F.least("own", "other").cast("long"), 32).bitwiseOR(F.greatest("own", "other").cast("long"))
+    return _dealt(_row(small, F.lit(0).cast("long"), none).unionByName(_row(split, cut, (F.col("own") > F.col("other")).cast("int"))))
+
+
+#: A group row. ``cut``: of a group that is cut into blocks the lower and the higher one, 32 bits each, else 0. ``span``: place (32
+#: bits), size (31 bits), and whether the row is of the higher block. Few columns, because these are by far the most rows.
+_ROW = "token bigint, cut bigint, span bigint, before bigint, b0 bigint, b1 bigint, fp bigint"
+_NAMES = [part.split()[0] for part in _ROW.split(", ")]
+
+
+def _row(rows: DataFrame, cut, higher) -> DataFrame:
+    span = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("long"), 1)).bitwiseOR(higher.cast("long"))
+    return rows.select("token", cut.alias("cut"), span.alias("span"), "before", "b0", "b1", "fp")
 
 
 #: Bits of the number rows are sorted by that hold the size; the others are a hash of the group.
@@ -222,9 +237,9 @@ SIZE_BITS = 24
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """Dealt by group and sorted by one number, which Spark sorts many times faster than several columns."""
-    size = F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long")
-    at = F.shiftleft(F.xxhash64("token", "lo", "hi"), SIZE_BITS).bitwiseOR(size)
-    return rows.repartition("token", "lo", "hi").withColumn("at", at).sortWithinPartitions("at")
+    size = F.shiftright(F.col("span").bitwiseAND(F.lit(2**32 - 1)), 1)
+    at = F.shiftleft(F.xxhash64("token", "cut"), SIZE_BITS).bitwiseOR(F.least(size, F.lit((1 << SIZE_BITS) - 1)))
+    return rows.repartition("token", "cut").withColumn("at", at).sortWithinPartitions("at")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -259,23 +274,34 @@ class Group:
 
     def __init__(self, table: pa.Table, how: Similarity):
         self.percent = how.percent
-        columns = {c: table.column(c).to_numpy() for c in ("at", "token", "lo", "hi", "size", "fp")}
-        hashed = columns["at"] >> SIZE_BITS
-        order = np.lexsort((columns["fp"], columns["size"], columns["hi"], columns["lo"], columns["token"], hashed))
-        group = np.zeros(table.num_rows, bool)
-        for c in ("token", "lo", "hi"):
-            group[1:] |= columns[c][order[1:]] != columns[c][order[:-1]]
+        columns = {c: table.column(c).to_numpy() for c in ("at", "token", "cut", "span", "fp")}
+        size = (columns["span"] & (2**32 - 1)) >> 1
+        order = np.lexsort((columns["fp"], columns["at"]))
+        group = self._starts(columns, order)
+        hashed = columns["at"][order] >> SIZE_BITS
+        if (group[1:] & (hashed[1:] == hashed[:-1])).any() or size.max() >> SIZE_BITS:  # ``at`` does not tell groups or sizes apart
+            order = np.lexsort((columns["fp"], size, columns["cut"], columns["token"], columns["at"] >> SIZE_BITS))
+            group = self._starts(columns, order)
         fp = columns["fp"][order]
         fresh = group | np.concatenate(([True], fp[1:] != fp[:-1]))
         self.table = table.take(pa.array(order[fresh]))
         self.group = np.cumsum(group)[fresh]
-        self.size, self.fp = columns["size"][order][fresh].astype(np.int64), fp[fresh]
-        self.place, self.own = (self.table.column(c).to_numpy().astype(np.int64) for c in ("place", "own"))
-        self.apart = self.table.column("lo").to_numpy() != self.table.column("hi").to_numpy()
+        self.size, self.fp = size[order][fresh], fp[fresh]
+        span, cut = columns["span"][order][fresh], columns["cut"][order][fresh]
+        self.place, self.own = span >> 32, span & 1
+        self.apart = cut >> 32 != cut & (2**32 - 1)
         self.maps = [self.table.column(c).to_numpy() for c in ("b0", "b1")]
         before = self.table.column("before")
         self.before, self.leads = pc.fill_null(before, 0).to_numpy(), pc.is_null(before).to_numpy()
 
+    @staticmethod
+    def _starts(columns: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+        """Which rows in this order have another token or cut than the one ahead."""
+        group = np.zeros(len(order), bool)
+        for c in ("token", "cut"):
+            group[1:] |= columns[c][order[1:]] != columns[c][order[:-1]]
+        return group
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows (i, j), i before j, in ascending order of i. Those that share the token ahead of the group's as well are
         counted in an earlier group."""
@@ -310,10 +336,6 @@ class Group:
         return keep
 
 
-_ROW = "token bigint, lo int, hi int, own int, place int, before bigint, size int, b0 bigint, b1 bigint, fp bigint"
-_NAMES = [part.split()[0] for part in _ROW.split(", ")]
-
-
 def _with_partner(groups: DataFrame, how: Similarity) -> DataFrame:
     """Rows of ``groups`` that have a partner which passes the filters."""
 
@@ -407,7 +429,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", how:
     level = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, how))
     lines = stored(occurrences(docs, key, text, level, how), "lines")
     place = F.struct(F.col(key).alias("key"), "line", "doc_hash")
-    classes = lines.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    classes = stored(lines.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-classes")
     likely = stored(_with_partner(_groups(lines, how), how), "line-groups")
     firsts = classes.join(likely.select("fp").distinct(), "fp").select(
         F.col("first.key").alias(key), F.col("first.doc_hash").alias("doc_hash"), F.col("first.line").alias("line")

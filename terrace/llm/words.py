@@ -48,8 +48,12 @@ def translated(texts: pa.Array, table: bytes) -> pa.Array:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, offsets, data = texts.buffers()
-    data = pa.py_buffer((data.to_pybytes() if data else b"").translate(table))
-    return pa.LargeStringArray.from_buffers(len(texts), offsets, data, None, 0, texts.offset)
+    if not data:
+        return texts
+    # A slice shares the buffer of its whole batch: only its own bytes are copied.
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    own = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(table)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(own))
 
 
 def split(texts: pa.Array, separator: str = " ") -> Words:

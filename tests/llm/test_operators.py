@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,6 +20,7 @@ from terrace.llm import (
     decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, queries, sharding, token_counts, toxicity, warc,
 )
 from terrace.llm.shared import shared_folder
+from terrace.llm.words import WHITE, translated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -371,6 +373,18 @@ def test_lines_meet_in_small_blocks_as_well(sample):
     assert sorted(small) == sorted(line_dedup.line_dedup(sample["docs"]).collect()) and any(r["n_links"] for r in small)
 
 
+def test_line_classes_are_counted_once_and_slices_copied_alone(sample):
+    """Who reads the classes must not group all lines again; a slice of a batch must not be translated with its whole batch."""
+    found = line_dedup.similar_lines(sample["docs"])
+    plan = found.classes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Aggregate" not in plan and found.classes.agg({"copies": "sum"}).first()[0] == found.lines.count()
+    texts = pa.array(["Ab\tC", None, "É\nZ", "x" * 100_000])
+    part = translated(texts.slice(0, 3), WHITE)
+    part.validate(full=True)
+    assert part.to_pylist() == ["ab c", "", "É z"] and part.buffers()[2].size == len("Ab\tCÉ\nZ".encode())
+    assert translated(texts.slice(2, 1), WHITE).to_pylist() == ["É z"] and translated(texts.slice(1, 1), WHITE).to_pylist() == [""]
+
+
 def test_near_duplicates(sample):
     sets = {}
     for i, t in sample["texts"].items():
