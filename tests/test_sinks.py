@@ -204,6 +204,17 @@ def test_interleaved_layout_takes_nulls_hot_cells_and_clashing_names(spark):
     assert interleaved(rows.limit(0), ["a", "b"], 4).isEmpty()
 
 
+def test_interleaved_layout_takes_its_quantiles_from_sketches_of_any_numbers(spark, monkeypatch):
+    """Quantiles by percentile_approx sort every value that goes in; columns without a number are laid out as well."""
+    monkeypatch.setattr(F, "percentile_approx", None)
+    kinds = [float("nan"), float("-inf"), float("inf"), None, 1.0]
+    rows = spark.createDataFrame([(kinds[i % 5], float("nan"), i) for i in range(500)], "a double, b double, id long")
+    laid_out = interleaved(rows, ["a", "b"], 5)
+    sizes = laid_out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 500 and len(sizes) == 5 and max(r["count"] for r in sizes) < 200
+    assert laid_out.select("id").distinct().count() == 500
+
+
 def test_tables_are_created_once_and_rebuilt_with_their_schema(spark, tmp_path):
     lake = Lake(str(tmp_path), prefix="sinks_")
     assert create_schemas(spark, lake) == create_schemas(spark, lake)
