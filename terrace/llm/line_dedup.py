@@ -9,7 +9,7 @@ similar (at 80 up to three words) needs no pairs: it is a class by its fingerpri
    counts each time, which only makes the order a little less apt, never the result wrong).
 2. Each set's tokens are ordered by (rarity, hash). Similar sets share one of their first
    ``size - ceil(t * size) + 1`` tokens (prefix filter); a token that only one line holds is left out of it.
-3. Lines meet in the group of each prefix token. Equal sets are one class there. A group of more than ``block`` classes
+3. Lines meet in the group of each prefix token; many small groups travel together, packed. Equal sets are one class there. A group of more than ``block`` classes
    is cut into blocks, and every two blocks meet in one place, so no task holds more than two blocks.
 4. In a group, sizes must be within t, the tokens from the shared one on must suffice (positional filter), and so must
    the tokens that a 128-bit map of either set rules out. Classes without any partner leave here, without their sets.
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import free_names, map_arrow, slices, stored
-from terrace.llm.words import WHITE, WHITE_IN_LINES, hashed, mixed, split, translated, unique, words
+from terrace.llm.words import WHITE, WHITE_IN_LINES, hashed_at, mixed, placed, unique
 
 #: Cells of the rarity table, and of one page of it.
 CELL_BITS = 22
 PAGE_BITS = 12
+#: Text handled at a time: less than other operators take, as what is made of it then stays in a core's cache.
+TEXT_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,25 +66,27 @@ class Lines:
 
 def lines_of(texts: pa.Array, min_tokens: int, only: pa.Array | None = None, level: np.ndarray | None = None) -> Lines:
     """``only``: for each text the numbers of the lines to take (all if absent). ``level``: the rarity table."""
-    parts = pc.split_pattern(translated(texts, WHITE_IN_LINES), "\n")
-    per_text = np.diff(parts.offsets.to_numpy())
+    held, offsets, starts, lengths = placed(texts, WHITE_IN_LINES)
+    feeds = np.nonzero(held == 10)[0]
+    per_text = np.diff(np.searchsorted(feeds, offsets)) + 1
     text = np.repeat(np.arange(len(texts)), per_text)
     number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    flat = parts.flatten()
+    counts = np.diff(np.searchsorted(starts, np.sort(np.concatenate((offsets, feeds + 1)))))
     if only is not None:
         wanted = np.array([t * 2**32 + n for t, ns in enumerate(only.to_pylist()) for n in ns], np.int64)
         keep = np.isin(text * 2**32 + number, wanted)
-        flat, text, number = flat.filter(pa.array(keep)), text[keep], number[keep]
-    codes, counts, distinct = split(flat)
+        kept = np.repeat(keep, counts)
+        starts, lengths, text, number, counts = starts[kept], lengths[kept], text[keep], number[keep], counts[keep]
     size = np.zeros(len(counts), np.int64)
     line, tokens = np.empty(0, np.int64), np.empty(0, np.uint64)
-    if len(codes):
-        hashes = hashed(distinct)
+    if len(starts):
+        encoded = pa.array(hashed_at(held, starts, lengths)).dictionary_encode()
+        codes, hashes = encoded.indices.to_numpy(), encoded.dictionary.to_numpy()
         order = np.argsort(hashes) if level is None else np.lexsort((hashes, level[cells(hashes)]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         line = np.repeat(np.arange(len(counts)), counts)
-        line, code = np.divmod(unique(line * len(distinct) + rank[codes]), len(distinct))
+        line, code = np.divmod(unique(line * len(hashes) + rank[codes]), len(hashes))
         size = np.bincount(line, minlength=len(counts))
         tokens = hashes[order][code]
     enough = size >= max(1, min_tokens)
@@ -123,9 +127,9 @@ def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
 
     def count(batches):
         held = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in slices(batches, "_text"):
-            codes, _, distinct = words(batch.column("_text"), WHITE)
-            np.add.at(held, cells(hashed(distinct)), np.bincount(codes, minlength=len(distinct)))
+        for batch in slices(batches, "_text", TEXT_BYTES):
+            text, _, starts, lengths = placed(batch.column("_text"), WHITE)
+            np.add.at(held, cells(hashed_at(text, starts, lengths)), 1)
         for page in range(1 << (CELL_BITS - PAGE_BITS)):
             part = held[page << PAGE_BITS : (page + 1) << PAGE_BITS]
             at = np.nonzero(part)[0]
@@ -151,10 +155,10 @@ def rarity(docs: DataFrame, text: str, how: Similarity) -> np.ndarray:
     return out
 
 
-def prefixes(lines: Lines, level: np.ndarray, how: Similarity, first: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def prefixes(lines: Lines, level: np.ndarray, how: Similarity, first: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
     """Of each line that is ``first`` (none of the others): how many tokens ahead no other line can hold; then the prefix tokens
-    that more than one line may hold; then those that more than a block of lines may hold. As lines are ordered by ``level``,
-    these three follow each other, so a token's place is known from its place in its list."""
+    that more than one line may hold, as bytes, and the last of them; then those that more than a block of lines may hold. As lines
+    are ordered by ``level``, these three follow each other, so a token's place is known from its place in its list."""
     rank = level[cells(lines.tokens)]
     starts = lines.ends - lines.size
     place = np.arange(len(rank)) - np.repeat(starts, lines.size)
@@ -164,14 +168,17 @@ def prefixes(lines: Lines, level: np.ndarray, how: Similarity, first: np.ndarray
     rank, line = rank[at], np.repeat(np.arange(len(length)), length)
     hot = rank >= min(255, max(2, int(8 * np.log2(how.block))))
 
-    def lists(kept: np.ndarray) -> pa.Array:
+    def lists(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(np.bincount(line[kept], minlength=len(length)))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(lines.tokens[at[kept]].view(np.int64)))
+        return np.concatenate(([0], ends)).astype(np.int32), lines.tokens[at[kept]].view(np.int64)
 
-    return np.bincount(line[rank <= 1], minlength=len(length)), lists((rank > 1) & ~hot), lists(hot)
+    ends, tokens = lists((rank > 1) & ~hot)
+    few = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends * np.int32(8)), pa.py_buffer(tokens)])
+    last = np.concatenate(([0], tokens))[np.where(np.diff(ends) > 0, ends[1:], 0)]
+    return np.bincount(line[rank <= 1], minlength=len(length)), few, last, pa.ListArray.from_arrays(*map(pa.array, lists(hot)))
 
 
-_OCCURRENCE = "doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, skipped int, few array<bigint>, often array<bigint>"
+_OCCURRENCE = "doc_hash bigint, line int, fp bigint, size int, b0 bigint, b1 bigint, skipped int, few binary, last bigint, often array<bigint>"
 
 
 def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) -> DataFrame:
@@ -179,55 +186,122 @@ def occurrences(docs: DataFrame, key: str, text: str, level, how: Similarity) ->
 
     def read(batches):
         seen: set[int] = set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", TEXT_BYTES):
             lines = lines_of(batch.column("_text"), how.min_tokens, level=level.value)
             fp, (b0, b1) = fingerprints(lines), bitmaps(lines)
             first = np.array([not (f in seen or seen.add(f)) for f in fp.tolist()], bool)
             if len(seen) > 1_000_000:
                 seen.clear()
-            skipped, few, often = prefixes(lines, level.value, how, first)
+            skipped, few, last, often = prefixes(lines, level.value, how, first)
+            last = pa.array(last, mask=pc.list_value_length(often).to_numpy() == 0)  # only ``often`` asks for it
             row = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key).take(row), batch.column("_hash").take(row), pa.array(lines.number.astype(np.int32)),
                     pa.array(fp), pa.array(lines.size.astype(np.int32)), pa.array(b0), pa.array(b1),
-                    pa.array(skipped.astype(np.int32)), few, often,
+                    pa.array(skipped.astype(np.int32)), few, last, often,
                 ],
-                names=[key, "doc_hash", "line", "fp", "size", "b0", "b1", "skipped", "few", "often"],
+                names=[key, "doc_hash", "line", "fp", "size", "b0", "b1", "skipped", "few", "last", "often"],
             )
 
     rows = docs.select(key, F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     return map_arrow(rows, read, f"`{key}` {dict(docs.dtypes)[key]}, {_OCCURRENCE}")
 
 
-def _groups(lines: DataFrame, how: Similarity) -> DataFrame:
-    """A row (``_ROW``) for each class and prefix token, dealt and sorted by the group (token, cut)."""
+#: A group row. ``cut``: of a group that is cut into blocks the lower and the higher one, 32 bits each, else 0. ``span``: whether no
+#: prefix token is ahead of this one, place (31 bits), size (31 bits), and whether the row is of the higher block. ``before``: the
+#: prefix token ahead, or 0. Few columns, because these are by far the most rows.
+_ROW = "token bigint, cut bigint, span bigint, before bigint, b0 bigint, b1 bigint, fp bigint"
+_NAMES = [part.split()[0] for part in _ROW.split(", ")]
+
+#: Group rows of one bucket, about, and those that a task gathers before it hands them on.
+BUCKET_ROWS = 25_000
+GATHERED_ROWS = 400_000
+
+
+def _of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Group rows of the tokens in ``few``, one for each."""
+    for batch in slices(batches, "few", 8 * GATHERED_ROWS):
+        few = batch.column("few")
+        n = pc.binary_length(few).to_numpy() // 8
+        token = np.frombuffer(b"".join(few.to_pylist()), np.int64)
+        starts = np.cumsum(n) - n
+        line = np.repeat(np.arange(len(n)), n)
+        skipped, size, *others = (batch.column(c).to_numpy().astype(np.int64) for c in ("skipped", "size", "b0", "b1", "fp"))
+        out = np.zeros((len(token), len(_NAMES)), np.int64)
+        out[:, 0] = token
+        out[:, 2] = np.arange(len(token)) << 32
+        out[:, 2] += (((skipped - starts) << 32) + (size << 1))[line]
+        out[1:, 3] = token[:-1]
+        out[starts, 2] |= -(2**63)
+        out[starts, 3] = 0
+        out[:, 4:] = np.stack(others, axis=1)[line]
+        yield out
+
+
+def _as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield np.stack([batch.column(c).to_numpy() for c in _NAMES], axis=1)
+
+
+def _group_hash(rows: np.ndarray) -> np.ndarray:
+    return mixed(rows[:, 0].view(np.uint64) ^ mixed(rows[:, 1]))
 
-    def rows(tokens: str, ahead, before) -> DataFrame:  # ``ahead``: of these tokens; ``before``: the prefix token ahead of this one
-        each = lines.where(F.size(tokens) > 0).select("fp", "size", "b0", "b1", "skipped", "few", "often", F.posexplode(tokens).alias("pos", "token"))
-        return each.select("token", (ahead + F.col("pos")).alias("place"), "size", before.alias("before"), "b0", "b1", "fp")
 
-    previous = F.col("pos") - 1
-    few = rows("few", F.col("skipped"), F.get("few", previous))
-    often = rows("often", F.col("skipped") + F.size("few"), F.coalesce(F.get("often", previous), F.get("few", F.size("few") - 1)))
+def _packed(rows: DataFrame, read, buckets: int) -> DataFrame:
+    """The group rows that ``read`` makes of the batches, those of a bucket side by side: a bucket holds whole groups, and Spark
+    shuffles a few long values instead of many short rows."""
+
+    def pack(batches):
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            every = np.concatenate(held)
+            bucket = _group_hash(every) % np.uint64(buckets)
+            order = np.argsort(bucket.astype(np.uint16 if buckets <= 2**16 else np.uint32), kind="stable")
+            found, n = np.unique(bucket[order], return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(n))) * every.itemsize * every.shape[1]
+            values = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(every[order])]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(n), values)], names=["bucket", "rows"])
+
+        held, n = [], 0
+        for some in read(batches):
+            held.append(some)
+            n += len(some)
+            if n >= GATHERED_ROWS:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return map_arrow(rows, pack, "bucket bigint, rows binary")
+
+
+def _groups(lines: DataFrame, how: Similarity, rows: int) -> DataFrame:
+    """A row (``_ROW``) for each class and prefix token, packed, dealt and sorted by buckets of groups (token, cut). ``rows``: how many
+    there are, about, before groups are cut."""
     large = lines.select("fp", F.explode("often").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > how.block)
-    large = stored(large.select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "line-hot")
+    large = stored(large.select("token", "m", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "line-hot")
+    rows += large.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    previous = F.get("often", F.col("pos") - 1)
+    often = lines.where(F.size("often") > 0).select("fp", "size", "b0", "b1", "skipped", "few", "last", "often", F.posexplode("often").alias("pos", "token"))
+    ahead = F.floor(F.octet_length("few") / 8).cast("int")
+    often = often.select(
+        "token", (F.col("skipped") + ahead + F.col("pos")).alias("place"), "size", "b0", "b1", "fp",
+        ((F.col("pos") == 0) & (ahead == 0)).alias("leads"), F.coalesce(previous, F.col("last")).alias("before"),
+    )
     none = F.lit(0)
-    small = few.unionByName(often.join(large, "token", "left_anti").select(*few.columns))
     split = often.join(large, "token").withColumn("own", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(none, F.col("blocks") - 1)))
     cut = F.shiftleft(F.least("own", "other").cast("long"), 32).bitwiseOR(F.greatest("own", "other").cast("long"))
-    return _dealt(_row(small, F.lit(0).cast("long"), none).unionByName(_row(split, cut, (F.col("own") > F.col("other")).cast("int"))))
-
-
-#: A group row. ``cut``: of a group that is cut into blocks the lower and the higher one, 32 bits each, else 0. ``span``: place (32
-#: bits), size (31 bits), and whether the row is of the higher block. Few columns, because these are by far the most rows.
-_ROW = "token bigint, cut bigint, span bigint, before bigint, b0 bigint, b1 bigint, fp bigint"
-_NAMES = [part.split()[0] for part in _ROW.split(", ")]
+    often = _row(often.join(large, "token", "left_anti"), none.cast("long"), none).unionByName(_row(split, cut, (F.col("own") > F.col("other")).cast("int")))
+    buckets = 1 + rows // BUCKET_ROWS
+    few = lines.where(F.octet_length("few") > 0).select("skipped", "size", "b0", "b1", "fp", "few")
+    packs = _packed(few, _of_few, buckets).unionByName(_packed(often, _as_they_are, buckets))
+    return packs.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def _row(rows: DataFrame, cut, higher) -> DataFrame:
     span = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("long"), 1)).bitwiseOR(higher.cast("long"))
+    span = F.when(F.col("leads"), span.bitwiseOR(F.lit(-(2**63)))).otherwise(span)
     return rows.select("token", cut.alias("cut"), span.alias("span"), "before", "b0", "b1", "fp")
 
 
@@ -242,6 +316,28 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("token", "cut").withColumn("at", at).sortWithinPartitions("at")
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The group rows of one bucket after the other, with ``at`` as in ``_dealt`` (by another hash)."""
+
+    def table(held: list[bytes]) -> pa.Table:
+        rows = np.frombuffer(b"".join(held), np.int64).reshape(-1, len(_NAMES))
+        size = (rows[:, _NAMES.index("span")] & (2**32 - 1)) >> 1
+        at = (_group_hash(rows) << np.uint64(SIZE_BITS)).view(np.int64) | np.minimum(size, (1 << SIZE_BITS) - 1)
+        return pa.table([*map(pa.array, np.ascontiguousarray(rows.T)), pa.array(at)], names=[*_NAMES, "at"])
+
+    held: list[bytes] = []
+    last = None
+    for batch in batches:
+        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows")):
+            if bucket != last and held:
+                yield table(held)
+                held = []
+            last = bucket
+            held.append(rows.as_py())
+    if held:
+        yield table(held)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The same rows, cut where the group's hash in ``at`` changes only."""
     held: list[pa.RecordBatch] = []
@@ -288,11 +384,10 @@ class Group:
         self.group = np.cumsum(group)[fresh]
         self.size, self.fp = size[order][fresh], fp[fresh]
         span, cut = columns["span"][order][fresh], columns["cut"][order][fresh]
-        self.place, self.own = span >> 32, span & 1
+        self.place, self.own, self.leads = span >> 32 & (2**31 - 1), span & 1, span < 0
         self.apart = cut >> 32 != cut & (2**32 - 1)
         self.maps = [self.table.column(c).to_numpy() for c in ("b0", "b1")]
-        before = self.table.column("before")
-        self.before, self.leads = pc.fill_null(before, 0).to_numpy(), pc.is_null(before).to_numpy()
+        self.before = self.table.column("before").to_numpy()
 
     @staticmethod
     def _starts(columns: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
@@ -340,14 +435,14 @@ def _with_partner(groups: DataFrame, how: Similarity) -> DataFrame:
     """Rows of ``groups`` that have a partner which passes the filters."""
 
     def scan(batches):
-        for table in whole_groups(batches):
+        for table in whole_buckets(batches):
             group = Group(table, how)
             has = np.zeros(len(group.fp), bool)
             for i, j in group.pairs():
                 has[i] = has[j] = True
             yield from group.table.filter(pa.array(has)).select(_NAMES).to_batches()
 
-    return map_arrow(groups.select(*_NAMES, "at"), scan, _ROW)
+    return map_arrow(groups, scan, _ROW)
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, key: str, text: str, level, how: Similarity) -> DataFrame:
@@ -355,7 +450,7 @@ def _sets(docs: DataFrame, firsts: DataFrame, key: str, text: str, level, how: S
     wanted = firsts.groupBy(key, "doc_hash").agg(F.collect_set("line").alias("_only"))  # lines of one document
 
     def read(batches):
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", TEXT_BYTES):
             lines = lines_of(batch.column("_text"), how.min_tokens, batch.column("_only"), level.value)
             offsets = pa.array(np.concatenate(([0], lines.ends)).astype(np.int32))
             held = pa.ListArray.from_arrays(offsets, pa.array(lines.tokens.view(np.int64)))
@@ -426,11 +521,13 @@ class Found:
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Similarity = Similarity()) -> Found:
-    level = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, how))
+    rare = rarity(docs, text, how)
+    words_held = float(np.sum(2.0 ** ((rare[rare > 1] - 1) / 8)))  # in cells that more than one occurrence shares
+    level = docs.sparkSession.sparkContext.broadcast(rare)
     lines = stored(occurrences(docs, key, text, level, how), "lines")
     place = F.struct(F.col(key).alias("key"), "line", "doc_hash")
     classes = stored(lines.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "line-classes")
-    likely = stored(_with_partner(_groups(lines, how), how), "line-groups")
+    likely = stored(_with_partner(_groups(lines, how, int(words_held * (100 - how.percent) / 100)), how), "line-groups")
     firsts = classes.join(likely.select("fp").distinct(), "fp").select(
         F.col("first.key").alias(key), F.col("first.doc_hash").alias("doc_hash"), F.col("first.line").alias("line")
     )

@@ -60,15 +60,15 @@ def crc32_of_id(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds about SLICE_BYTES at most."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose ``column`` holds about ``limit`` bytes at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         first, held = 0, 0
         for row, size in enumerate(sizes.tolist()):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > limit:
                 yield batch.slice(first, row - first)
                 first, held = row, 0
             held += size

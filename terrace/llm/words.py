@@ -93,6 +93,52 @@ def hashed(distinct: pa.Array) -> np.ndarray:
         return mixed(np.diff(total) + lengths.astype(np.uint64) * _PRIME)
 
 
+class Placed(NamedTuple):
+    bytes: np.ndarray  #: of all texts in a row
+    offsets: np.ndarray  #: where each text begins there, and the end
+    starts: np.ndarray  #: where each word begins
+    lengths: np.ndarray  #: and its length
+
+
+def placed(texts: pa.Array, table: bytes) -> Placed:
+    """Where the words are that spaces and line feeds separate; nothing is cut out."""
+    texts = translated(texts, table)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if data else np.zeros(len(texts) + 1, np.int64)
+    held = np.frombuffer(data or b"", np.uint8)[: offsets[-1]]
+    letter = (held != 32) & (held != 10)
+    head, tail = letter.copy(), letter.copy()
+    head[1:] &= ~letter[:-1]
+    tail[:-1] &= ~letter[1:]
+    first, last = offsets[:-1][offsets[:-1] < len(held)], offsets[1:][offsets[1:] > 0] - 1
+    head[first], tail[last] = letter[first], letter[last]  # texts meet without a separator
+    starts = np.nonzero(head)[0]
+    return Placed(held, offsets, starts, np.nonzero(tail)[0] + 1 - starts)
+
+
+#: A longer word is hashed by ``hashed``.
+_LONG = 64
+_SEEDS = np.arange(_LONG + 1, dtype=np.uint64) * _PRIME
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hashed_at(held: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, the same in every process, eight bytes at a time (not the hash of ``hashed``)."""
+    eights = np.ndarray(len(held) + 1, "<u8", np.concatenate((held, np.zeros(8, np.uint8))), strides=(1,))
+    out = mixed(_SEEDS[np.minimum(lengths, _LONG)] ^ (eights[starts] & _MASKS[np.minimum(lengths, 8)]))
+    some, at = np.nonzero((lengths > 8) & (lengths <= _LONG))[0], 8
+    while len(some):
+        out[some] = mixed(out[some] ^ (eights[starts[some] + at] & _MASKS[np.minimum(lengths[some] - at, 8)]))
+        at += 8
+        some = some[lengths[some] > at]
+    long = np.nonzero(lengths > _LONG)[0]
+    if len(long):
+        cut = b"".join(held[a : a + n].tobytes() for a, n in zip(starts[long].tolist(), lengths[long].tolist()))
+        ends = np.concatenate(([0], np.cumsum(lengths[long])))
+        out[long] = hashed(pa.LargeStringArray.from_buffers(len(long), pa.py_buffer(ends), pa.py_buffer(cut)))
+    return out
+
+
 def unique(x: np.ndarray) -> np.ndarray:
     """The distinct numbers, ascending, by sorting (numpy's own way for whole numbers is a slower hash table)."""
     x = np.sort(x)

@@ -20,7 +20,7 @@ from terrace.llm import (
     decontaminate, language_id, line_dedup, near_duplicates, packing, quality_rules, queries, sharding, token_counts, toxicity, warc,
 )
 from terrace.llm.shared import shared_folder
-from terrace.llm.words import WHITE, translated
+from terrace.llm.words import WHITE, WHITE_IN_LINES, hashed_at, placed, translated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -385,6 +385,34 @@ def test_line_classes_are_counted_once_and_slices_copied_alone(sample):
     assert translated(texts.slice(2, 1), WHITE).to_pylist() == ["É z"] and translated(texts.slice(1, 1), WHITE).to_pylist() == [""]
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_line_groups_travel_packed(sample, block):
+    """Every prefix token is a group row once, whole groups in one bucket, many rows in one long value."""
+    how = line_dedup.Similarity(block=block)
+    level = sample["docs"].sparkSession.sparkContext.broadcast(line_dedup.rarity(sample["docs"], "text", how))
+    lines = line_dedup.occurrences(sample["docs"], "doc_id", "text", level, how).cache()
+    tokens = collections.Counter(t for r in lines.collect() for t in [*np.frombuffer(r["few"], np.int64).tolist(), *r["often"]])
+    packs = line_dedup._groups(lines, how, 100 * line_dedup.BUCKET_ROWS).withColumn("at", F.spark_partition_id()).collect()
+    held = [(p["bucket"], p["at"], row) for p in packs for row in np.frombuffer(p["rows"], np.int64).reshape(-1, 7).tolist()]
+    uncut = collections.Counter(row[0] for _, _, row in held if row[1] == 0)
+    cut = {row[0] for _, _, row in held if row[1]}
+    assert all(uncut[t] == tokens[t] for t in tokens if t not in cut) and set(uncut) | cut == set(tokens) and bool(cut) == (block == 4)
+    assert len({(row[0], row[1]) for _, _, row in held}) == len({(b, at, row[0], row[1]) for b, at, row in held})
+    assert len({b for b, _, _ in held}) > 50 and 2 * len(packs) < len(held)
+
+
+def test_words_are_hashed_where_they_stand():
+    texts = ["Ab\tC  ab", None, "", "É\nz ab", "ab", " ", "日本語" * 9 + " x" * 3, "y" * 64 + " " + "y" * 65, "y" * 65 + "\x0by" * 2, "abcdefgh abcdefg abcdefgh\0"]
+    for first in (0, 3, 7):
+        at = placed(pa.array(texts).slice(first), WHITE_IN_LINES)
+        words = [w for t in texts[first:] for w in white_words(lowered(t or ""))]
+        found = [at.bytes[a : a + n].tobytes().decode() for a, n in zip(at.starts, at.lengths)]
+        hashes = hashed_at(at.bytes, at.starts, at.lengths).tolist()
+        assert found == words and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    nothing = placed(pa.array([None, ""], pa.string()), WHITE)
+    assert not len(nothing.starts) and not len(hashed_at(nothing.bytes, nothing.starts, nothing.lengths))
+
+
 def test_near_duplicates(sample):
     sets = {}
     for i, t in sample["texts"].items():
