@@ -1,6 +1,8 @@
 """Incremental gold: only changed months are read and written, and the result is that of a rebuild."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from terrace.flights import model
 from terrace.flights.contract import FLIGHTS
@@ -70,6 +72,30 @@ def test_other_months_are_not_read(spark, flights, parts, monkeypatch):
     assert asked == [["2023-08"], ["2023-08"]]  # as it is now, and as it was
 
 
+def test_the_fact_is_written_as_silver_lies(spark, flights, parts, monkeypatch):
+    """Silver's files hold a month each: the fact is made of them without another shuffle, and into no more files."""
+    lake, silver, gold = parts
+    days = [{"FlightDate": f"2023-{m:02}-{d:02}", "Flight_Number_Reporting_Airline": str(d)} for m in range(1, 13) for d in range(1, 29)]
+    silver.upsert(accepted(flights(*days), FLIGHTS), 0)
+    silver.upsert(accepted(flights({"FlightDate": "2023-03-05", "Flight_Number_Reporting_Airline": "5", "DepDelay": "99"}), FLIGHTS), 1)
+    plans, real = {}, DataFrameWriter.parquet
+
+    def noting(writer, path, *args, **kwargs):
+        plans[path.rsplit("/", 1)[1]] = writer._df._sc._jvm.PythonSQLUtils.explainString(writer._df._jdf.queryExecution(), "simple")
+        return real(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noting)
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    gold.refresh(silver)
+    assert "hashpartitioning" not in plans["fact"] and "hashpartitioning" in plans["agg"]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == bytes_before
+    equal_to_rebuild(spark, lake, silver)
+    held = spark.table(lake.gold("fact_flights")).select(F.input_file_name().alias("file"), F.floor(F.col("date_key") / 100).alias("month"))
+    files = held.groupBy("file").agg(F.count_distinct("month").alias("months")).collect()
+    assert {r.months for r in files} == {1}
+    assert len(files) <= silver.read().select(F.input_file_name()).distinct().count()
+
+
 def test_a_version_that_is_gone_means_all_anew(spark, flights, parts):
     lake, silver, gold = parts
     silver.upsert(accepted(flights({"FlightDate": "2023-07-01"}), FLIGHTS), 0)
