@@ -3,15 +3,18 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.flights import dashboard, model
 from terrace.flights.contract import FLIGHTS
 from terrace.lake import materialize
 from terrace.operators import quality
 from terrace.operators.clean import accepted, rejected
+from terrace.spec import Field, TableSpec
 from terrace.streaming import events as ev
 from tests.conftest import SF_SMALL
 from verification import queries
+from verification.adapters import raw_flights
 
 
 def plan(df):
@@ -87,6 +90,40 @@ def test_copies_meet_as_typed_rows(flights):
     assert not {"DepDelay", "ArrTime", "CRSArrTime", "WeatherDelay"} & columns
 
 
+def test_copies_travel_without_hashes_beside_rows_of_their_route(flights):
+    text = plan(accepted(flights(), FLIGHTS))
+    (shuffled,) = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert "hash" not in shuffled
+    sorts = re.findall(r"\) Sort\nInput [^\n]*\nArguments: \[(\w+)#\d+ ASC NULLS FIRST, (\w+)#", text)
+    assert sorts and set(sorts) == {("origin_airport", "dest_airport")}
+
+
+def test_rows_that_differ_in_the_last_column_alone_have_a_stable_survivor(flights):
+    tied = flights(*[{"LateAircraftDelay": str(i)} for i in range(20)]).withColumn("_ingest_ts", F.lit("2024-02-01").cast("timestamp"))
+    survivors = {accepted(tied.repartition(n, "LateAircraftDelay"), FLIGHTS).first().late_aircraft_delay_min for n in (1, 3, 7)}
+    assert survivors == {0}
+
+
+def test_types_without_an_order_may_be_columns(spark):
+    fields = (Field("id", "id", "int"), Field("took", "took", "interval"), Field("held", "held", "variant"))
+    raw = spark.createDataFrame([("1", "2 days", "a"), ("1", "1 day", "b"), ("2", None, None)], "id string, took string, held string")
+    kept = accepted(raw.withColumn("_ingest_ts", F.lit("2024-02-01").cast("timestamp")), TableSpec(fields, (), ("id",)))
+    found = kept.select("id", F.col("took").cast("string"), F.col("held").cast("string")).collect()
+    assert sorted(map(tuple, found), key=str) == [(1, "1 days", "b"), (2, None, None)]
+
+
+def test_shipments_are_shuffled_for_their_orders_alone(spark):
+    """Suppliers, without the names of their nations, count as small; joined with them they would not."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4k")
+    try:
+        text = plan(raw_flights(spark, SF_SMALL))
+    finally:
+        spark.conf.set(name, before)
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_suppkey" not in text
+
+
 def test_a_fact_carries_silver_columns_that_are_asked_for(silver):
     fact = model.fact_flights(silver, keep=["origin_city"])
     assert fact.columns == [*model.fact_flights(silver).columns, "origin_city"]
